@@ -76,21 +76,31 @@ def _classified(raw: DataFrame, projects: DataFrame) -> DataFrame:
 
 def parse_traceparent(raw: DataFrame) -> DataFrame:
     """A valid W3C header overrides trace id and parent span; any other header changes nothing."""
-    header = F.col("traceparent")
-    trace = F.regexp_extract(header, TRACEPARENT, 1)
-    span = F.regexp_extract(header, TRACEPARENT, 2)
-    valid = header.rlike(TRACEPARENT)
-    return raw.withColumns({
-        "trace_id": F.when(valid, trace).otherwise(F.col("trace_id")),
-        "parent_span_id": F.when(valid, span).otherwise(F.col("parent_span_id")),
-    })
+    header, found = F.col("traceparent"), F.col("_found")
+    rows = raw.withColumn("_found", F.regexp_extract(header, TRACEPARENT, 1))
+    return rows.withColumns({
+        "trace_id": F.when(found != "", found).otherwise(F.col("trace_id")),
+        "parent_span_id": F.when(found != "", F.regexp_extract(header, TRACEPARENT, 2))
+        .otherwise(F.col("parent_span_id")),
+    }).drop("_found")
+
+
+def _with_json_text(df: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """Scalar fields of ``_doc`` as text columns; null if missing or null, empty for an object or array.
 
+    Two projections, so that every field is read once and only texts that look like a container are
+    looked at again.
+    """
+    doc = F.col("_doc")
+    texts = df.withColumns({c: F.try_variant_get(doc, f"$.{key}", "string") for c, key in fields.items()})
 
-def _json_text(doc: Column, key: str) -> Column:
-    """Scalar field as text; null if it is missing or null, empty for an object or array."""
-    text = F.try_variant_get(doc, f"$.{key}", "string")
-    kind = F.schema_of_variant(F.try_variant_get(doc, f"$.{key}", "variant"))
-    return F.when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.lit("")).otherwise(text)
+    def scalar(c: str, key: str) -> Column:
+        text = F.col(c)
+        kind = F.schema_of_variant(F.try_variant_get(doc, f"$.{key}", "variant"))
+        nested = (text.startswith("{") | text.startswith("[")) & (kind.startswith("OBJECT") | kind.startswith("ARRAY"))
+        return F.when(nested, F.lit("")).otherwise(text)
+
+    return texts.withColumns({c: scalar(c, key) for c, key in fields.items()})
 
 
 def parse_logs(raw: DataFrame, as_of: When, strict: bool = False) -> DataFrame:
@@ -113,14 +123,10 @@ def parse_logs(raw: DataFrame, as_of: When, strict: bool = False) -> DataFrame:
         "_doc": F.when(is_json, F.try_parse_json(F.col("message"))),
         "_id": stable_id(*[F.col(c) for c in identity]),
     })
-    fields = docs.withColumns({
-        "_parsed": F.col("_json") & F.col("_doc").isNotNull(),
-        "_message": _json_text(F.col("_doc"), "message"),
-        "_level": _json_text(F.col("_doc"), "level"),
-        "_time": _json_text(F.col("_doc"), "timestamp"),
-        "_trace": F.coalesce(_json_text(F.col("_doc"), "traceId"), _json_text(F.col("_doc"), "trace_id")),
-        "_span": F.coalesce(_json_text(F.col("_doc"), "spanId"), _json_text(F.col("_doc"), "span_id")),
-    })
+    fields = _with_json_text(docs, {
+        "_message": "message", "_level": "level", "_time": "timestamp", "_trace": "traceId", "_trace2": "trace_id",
+        "_span": "spanId", "_span2": "span_id",
+    }).withColumn("_parsed", F.col("_json") & F.col("_doc").isNotNull())
     parsed, is_json = F.col("_parsed"), F.col("_json")
     keeps_trace = is_json if strict else F.lit(True)
     return fields.select(
@@ -137,8 +143,8 @@ def parse_logs(raw: DataFrame, as_of: When, strict: bool = False) -> DataFrame:
         F.col("message").alias("raw_log"),
         now.alias("ingestion_timestamp"),
         "project_id",
-        F.when(keeps_trace, F.coalesce(F.col("_trace"), F.col("trace_id"))).alias("trace_id"),
-        F.when(keeps_trace, F.coalesce(F.col("_span"), F.col("span_id"))).alias("span_id"),
+        F.when(keeps_trace, F.coalesce("_trace", "_trace2", "trace_id")).alias("trace_id"),
+        F.when(keeps_trace, F.coalesce("_span", "_span2", "span_id")).alias("span_id"),
         F.when(keeps_trace, F.col("parent_span_id")).alias("parent_span_id"),
     )
 
@@ -217,23 +223,26 @@ def ingest_stats(logs: DataFrame, errors: DataFrame) -> DataFrame:
 def decode_log_events(df: DataFrame, col: str, as_of: When) -> tuple[DataFrame, DataFrame]:
     """(events, bad) from JSON text: missing text is empty, missing ids are null, broken JSON is bad."""
     docs = df.withColumn("_doc", F.try_parse_json(F.col(col)))
-    doc = F.col("_doc")
+    fields = _with_json_text(docs.where(F.col("_doc").isNotNull()), {
+        "_id": "id", "_time": "timestamp", "_service": "serviceId", "_level": "level", "_message": "message",
+        "_trace": "traceId", "_span": "spanId", "_parent": "parentSpanId",
+    })
 
-    def text(key: str) -> Column:
-        return F.coalesce(_json_text(doc, key), F.lit(""))
-
-    events = docs.where(doc.isNotNull()).select(
-        F.coalesce(_json_text(doc, "id"), stable_id(F.col(col))).alias("id"),
-        parse_event_time(_json_text(doc, "timestamp"), instant(as_of)).alias("timestamp"),
-        text("serviceId").alias("service_id"),
-        text("level").alias("level"),
-        text("message").alias("message"),
-        F.try_variant_get(doc, "$.projectId", "bigint").alias("project_id"),
-        _json_text(doc, "traceId").alias("trace_id"),
-        _json_text(doc, "spanId").alias("span_id"),
-        _json_text(doc, "parentSpanId").alias("parent_span_id"),
+    def text(c: str) -> Column:
+        return F.coalesce(F.col(c), F.lit(""))
+
+    events = fields.select(
+        F.coalesce("_id", stable_id(F.col(col))).alias("id"),
+        parse_event_time(F.col("_time"), instant(as_of)).alias("timestamp"),
+        text("_service").alias("service_id"),
+        text("_level").alias("level"),
+        text("_message").alias("message"),
+        F.try_variant_get("_doc", "$.projectId", "bigint").alias("project_id"),
+        F.col("_trace").alias("trace_id"),
+        F.col("_span").alias("span_id"),
+        F.col("_parent").alias("parent_span_id"),
     )
-    bad = docs.where(doc.isNull()).select(
+    bad = docs.where(F.col("_doc").isNull()).select(
         F.lit("unknown").alias("id"),
         F.concat(F.lit("Failed to parse log message: "), F.coalesce(F.col(col), F.lit("null"))).alias("message"),
     )

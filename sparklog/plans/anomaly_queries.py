@@ -16,7 +16,7 @@ from sparklog.sources import tables as t
 
 HOURLY = {"width": "1 hour", "lookback": "7 days", "min_drop_mean": 1.0}
 SPIKE = 15
-AT = "2024-01-20T08:30:00"
+AT = "2024-01-22T04:30:00"
 
 RATE_COLUMNS = ["project_id", "service_id", "severity", "deduplication_key", "description", "timestamp", "id",
                 "error_rate", "total_count", "error_count"]
@@ -79,7 +79,7 @@ def windows_by_service(spark, d):
 @query("volume_baseline", sql("""
     SELECT project_id, service_id, count(*) AS points, round(CAST(sum(total) AS DOUBLE) / count(*), 6) AS mean_volume,
       round(sqrt(CAST(count(*) * sum(total * total) - sum(total) * sum(total) AS DOUBLE)) / count(*), 6) AS std_dev
-    FROM hour_counts WHERE bucket BETWEEN TIMESTAMP '2024-01-13 07:00:00' AND TIMESTAMP '2024-01-20 07:00:00' GROUP BY ALL""",
+    FROM hour_counts WHERE bucket BETWEEN TIMESTAMP '2024-01-15 03:00:00' AND TIMESTAMP '2024-01-22 03:00:00' GROUP BY ALL""",
     "hour_counts"))
 def volume_baseline(spark, d):
     stats = an.volume_baseline(hour_counts(spark, d), AT, "1 hour", "7 days")
@@ -87,7 +87,7 @@ def volume_baseline(spark, d):
 
 
 @query("volume_anomalies", sql(
-    f"SELECT {VOLUME_SELECT} FROM vol_anoms WHERE \"timestamp\" = TIMESTAMP '2024-01-20 07:00:00'", "vol_anoms"))
+    f"SELECT {VOLUME_SELECT} FROM vol_anoms WHERE \"timestamp\" = TIMESTAMP '2024-01-22 03:00:00'", "vol_anoms"))
 def volume_anomalies_now(spark, d):
     return volume_view(an.volume_anomalies(hour_counts(spark, d), AT, **HOURLY))
 
