@@ -41,13 +41,16 @@ def redact(col: Column) -> Column:
 def _fold_spaces(col: Column) -> Column:
     """Runs of white space as one blank. Single blanks, the common case, are left alone."""
     ascii_only = reduce(lambda text, space: F.replace(text, F.lit(space), F.lit(" ")), UNICODE_SPACES, col)
-    return F.regexp_replace(ascii_only, r"[^\S ]\s*| \s+", " ")
+    return F.regexp_replace(
+        F.when(_has_any(col, UNICODE_SPACES), ascii_only).otherwise(col), r"[^\S ]\s*| \s+", " "
+    )
 
 
 def preview(col: Column, width: int = 90) -> Column:
     """One-line preview: spaces folded, rulers removed, cut with an ellipsis."""
     folded = F.trim(_fold_spaces(F.coalesce(col, F.lit(""))))
-    clean = F.trim(F.regexp_replace(folded, "={3,}", ""))
+    no_rulers = F.trim(F.regexp_replace(folded, "={3,}", ""))
+    clean = F.when(F.contains(col, F.lit("===")), no_rulers).otherwise(folded)
     return F.concat(F.substring(clean, 1, width), F.when(F.length(clean) > width, "...").otherwise(""))
 
 

@@ -12,6 +12,7 @@ from sparklog.functions.clock import bucket_start, instant, shift, width_seconds
 from sparklog.functions.keys import dedup_key, stable_id
 from sparklog.functions.levels import is_error, is_warning
 from sparklog.operators.ingest import When
+from sparklog.operators.joins import top_per_group
 
 # Sums of squares outgrow 64 bits; the z-score rules are decided on exact integers.
 WIDE = T.DecimalType(38, 0)
@@ -240,11 +241,7 @@ def dedup_anomalies(anomalies: DataFrame) -> DataFrame:
 
 
 def recent_anomalies(anomalies: DataFrame, as_of: When, n: int = 50, days: int = 7) -> DataFrame:
-    """The last ``n`` anomalies of every project, newest first, not older than ``days``.
-
-    The rank filter is pushed below the shuffle: each task sends at most ``n`` rows per project.
-    """
+    """The last ``n`` anomalies of every project, newest first, not older than ``days``."""
     id_col = "event_id" if "event_id" in anomalies.columns else "id"
-    newest = Window.partitionBy("project_id").orderBy(F.col("timestamp").desc(), F.col(id_col))
     fresh = anomalies.where(F.col("timestamp") >= shift(instant(as_of), -days * 86400))
-    return fresh.withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= n)
+    return top_per_group(fresh, ["project_id"], [F.col("timestamp").desc(), F.col(id_col)], n)

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sparklog import constants as C
 from sparklog.functions.clock import instant, shift
 from sparklog.functions.keys import stable_id
 from sparklog.operators.alerts import event_payload, fan_out
 from sparklog.operators.ingest import When
-from sparklog.operators.joins import join_dim
+from sparklog.operators.joins import join_dim, top_per_group
 from sparklog.schemas import DELIVERIES
 
 PAIR = ["subscription_id", "event_id"]
@@ -33,7 +32,7 @@ def enqueue_deliveries(
 ) -> DataFrame:
     """New PENDING rows, due now."""
     now = instant(as_of)
-    rows = new_deliveries(event_payload(fan_out(events, subscriptions)), deliveries).withColumns({
+    rows = new_deliveries(fan_out(events, subscriptions), deliveries).transform(event_payload).withColumns({
         "id": stable_id(F.col("subscription_id"), F.col("event_id")),
         "status": F.lit("PENDING"), "attempts": F.lit(0), "next_attempt_at": now,
         "created_at": now, "updated_at": now,
@@ -45,12 +44,11 @@ def enqueue_deliveries(
 
 
 def due_deliveries(deliveries: DataFrame, as_of: When, k: int = 100) -> DataFrame:
-    """Per waiting status, the ``k`` earliest due rows. The rank filter runs before the shuffle."""
+    """Per waiting status, the ``k`` earliest due rows."""
     waiting = deliveries.where(
         F.col("status").isin("PENDING", "RETRY_PENDING") & (F.col("next_attempt_at") <= instant(as_of))
     )
-    earliest = Window.partitionBy("status").orderBy("next_attempt_at", "id")
-    return waiting.withColumn("rank", F.row_number().over(earliest)).where(F.col("rank") <= k)
+    return top_per_group(waiting, ["status"], [F.col("next_attempt_at"), F.col("id")], k)
 
 
 # --- attempts -------------------------------------------------------------------------------------------

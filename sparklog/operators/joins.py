@@ -1,9 +1,10 @@
-"""Fact-to-dimension joins with a checked broadcast."""
+"""Fact-to-dimension joins with a checked broadcast, and the top rows of every group."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 MAX_ROWS = 200_000
 MAX_BYTES = 64 * 1024 * 1024
@@ -11,17 +12,12 @@ SALTS = 16
 
 
 def fits_broadcast(dim: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> bool:
-    """Measure the dimension: at most ``max_rows`` rows of at most ``max_bytes`` of JSON text.
+    """Measure the dimension: at most ``max_rows`` rows and ``max_bytes`` of JSON text.
 
-    The limit stops the scan early, so a huge table costs no more than a small one.
+    One aggregation over the dimension alone, combined in its tasks; only two numbers reach the driver.
     """
     row_bytes = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in dim.columns])))
-    rows, size = (
-        dim.limit(max_rows + 1)
-        .select(row_bytes.alias("b"))
-        .agg(F.count(F.lit(1)), F.coalesce(F.sum("b"), F.lit(0)))
-        .first()
-    )
+    rows, size = dim.agg(F.count(F.lit(1)), F.coalesce(F.sum(row_bytes), F.lit(0))).first()
     return rows <= max_rows and size <= max_bytes
 
 
@@ -58,6 +54,19 @@ def join_dim(
     return joined.drop(*[f"_k_{k}" for k in keys], "_salt")
 
 
+def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, splits: int = 64) -> DataFrame:
+    """The first ``k`` rows of every group, with their ``rank``.
+
+    Every task keeps at most ``k`` rows per group before the shuffle. Those are ranked in ``splits``
+    parts first, so the last step sees at most ``splits * k`` rows per group, however many tasks fed it.
+    """
+    part = Window.partitionBy(*keys, "_part").orderBy(*order)
+    parts = df.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(splits)))
+    heads = parts.withColumn("_rank", F.row_number().over(part)).where(F.col("_rank") <= k).drop("_rank", "_part")
+    whole = Window.partitionBy(*keys).orderBy(*order)
+    return heads.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= k)
+
+
 def _hashable(df: DataFrame) -> list[str]:
     """Columns that can feed a hash (maps and variants cannot)."""
     return [f.name for f in df.schema.fields if f.dataType.simpleString().split("<")[0] not in ("map", "variant")]

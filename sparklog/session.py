@@ -19,6 +19,8 @@ SETTINGS = {
     "spark.sql.variant.allowDuplicateKeys": "true",
     # Only the touched partitions are replaced by an overwrite.
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # The JVM does not compile methods above this size; Spark then splits the generated code instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # State lives on disk, not on the heap.
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
