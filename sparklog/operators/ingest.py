@@ -33,13 +33,14 @@ def with_errors(raw: DataFrame) -> DataFrame:
     return raw.withColumn("errors", F.map_filter(checks, lambda _, text: text.isNotNull()))
 
 
-def _is_valid() -> Column:
+def is_valid() -> Column:
+    """Message and service id are not blank and the format is given."""
     return not_blank(F.col("message")) & not_blank(F.col("service_id")) & F.col("format").isNotNull()
 
 
 def validate_raw(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid, invalid): together they are the input; invalid rows carry the ``errors`` map."""
-    return raw.where(_is_valid()), with_errors(raw.where(~_is_valid()))
+    return raw.where(is_valid()), with_errors(raw.where(~is_valid()))
 
 
 # --- tenancy --------------------------------------------------------------------------------------------
@@ -69,7 +70,7 @@ def unauthorized(raw: DataFrame, projects: DataFrame) -> DataFrame:
 def _classified(raw: DataFrame, projects: DataFrame) -> DataFrame:
     """One pass over the raw rows: tenant (null if none) and validity."""
     joined = join_dim(_with_key_hash(raw), _active_keys(projects), ["_key_hash"], "left")
-    return joined.withColumn("_valid", _is_valid()).drop("_key_hash")
+    return joined.withColumn("_valid", is_valid()).drop("_key_hash")
 
 
 # --- parsing --------------------------------------------------------------------------------------------

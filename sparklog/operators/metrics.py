@@ -12,7 +12,7 @@ from sparklog.functions.text import not_blank
 from sparklog.operators.ingest import When
 from sparklog.operators.joins import join_dim
 
-LITERAL_METRICS = 64
+LITERAL_METRICS = 256
 
 
 # --- counters -------------------------------------------------------------------------------------------
@@ -108,6 +108,7 @@ def match_metrics(logs: DataFrame, defs: DataFrame, literal_metrics: int = LITER
     ok, _ = validate_metric_defs(defs)
     rules = ok.select(
         F.col("id").alias("metric_id"), F.col("project_id").alias("_metric_project"), "regex_pattern",
+        F.format_string(_whole("%s"), "regex_pattern").alias("_whole"),
         # A pattern such as an unclosed quote compiles alone but not inside the anchored form.
         _compiles(F.format_string(_whole("%s"), "regex_pattern")).alias("_anchors"),
     )
@@ -116,21 +117,20 @@ def match_metrics(logs: DataFrame, defs: DataFrame, literal_metrics: int = LITER
     if len(few) <= literal_metrics and all(r["_anchors"] for r in few):
         return _match_literals(candidates, few)
     side = rules.withColumnRenamed("_metric_project", "project_id")
-    matches = F.expr(r"not _anchors or message rlike format_string('\\A(?:%s)\\z', regex_pattern)")
-    pairs = join_dim(candidates, side, ["project_id"], condition=matches)
+    pairs = join_dim(candidates, side, ["project_id"], condition=F.expr("not _anchors or message rlike _whole"))
     whole = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("matches"), F.col("regex_pattern"), F.col("message"))
-    return pairs.where(F.col("_anchors") | (whole == "true")).drop("regex_pattern", "_anchors")
+    return pairs.where(F.col("_anchors") | (whole == "true")).drop("regex_pattern", "_whole", "_anchors")
 
 
 def _match_literals(logs: DataFrame, rules: list) -> DataFrame:
-    hits = [
-        F.when(
-            (F.col("project_id") == r["_metric_project"]) & F.col("message").rlike(_whole(r["regex_pattern"])),
-            F.lit(r["metric_id"]).cast("bigint"),
-        )
-        for r in sorted(rules, key=lambda r: r["metric_id"])
-    ]
-    ids = F.filter(F.array(*hits), lambda hit: hit.isNotNull()) if hits else F.array().cast("array<bigint>")
+    """A row tries the patterns of its own project only."""
+    none = F.array().cast("array<bigint>")
+    hits = F.when(F.lit(False), none)
+    for project in sorted({r["_metric_project"] for r in rules}):
+        mine = sorted((r for r in rules if r["_metric_project"] == project), key=lambda r: r["metric_id"])
+        tries = [F.when(F.col("message").rlike(r["_whole"]), F.lit(r["metric_id"]).cast("bigint")) for r in mine]
+        hits = hits.when(F.col("project_id") == project, F.array(*tries))
+    ids = F.filter(hits.otherwise(none), lambda hit: hit.isNotNull())
     return logs.withColumn("metric_id", F.explode(ids))
 
 

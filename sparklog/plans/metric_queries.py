@@ -80,10 +80,8 @@ def matches(spark, d):
 @query("match_metrics_join", sql(f"SELECT id, project_id, metric_id FROM {_MATCHES}", "logs", "metric_defs"))
 def matches_join(spark, d):
     """The plan for many definitions."""
-    rows = met.match_metrics(
-        t.logs(spark, d).withColumnRenamed("id", "log_id"), t.custom_metrics(spark, d), literal_metrics=0
-    )
-    return rows.select(F.col("log_id").alias("id"), "project_id", "metric_id")
+    rows = met.match_metrics(t.logs(spark, d), t.custom_metrics(spark, d), literal_metrics=0)
+    return rows.select("id", "project_id", "metric_id")
 
 
 _METRIC_HOURS = f"""(SELECT project_id, metric_id, time_bucket(INTERVAL 1 HOUR, "timestamp") AS bucket, count(*) AS count

@@ -20,7 +20,7 @@ from sparklog.functions.clock import shift, width_seconds
 from sparklog.operators.alerts import normalize_anomalies, route_alerts
 from sparklog.operators.anomaly import error_rate_anomalies, error_rate_windows, recent_anomalies, volume_anomalies_backfill
 from sparklog.operators.delivery import enqueue_deliveries
-from sparklog.operators.ingest import When, ingest
+from sparklog.operators.ingest import When, ingest, is_valid
 from sparklog.operators.metrics import match_metrics, minute_counts
 from sparklog.operators.search import to_log_documents
 from sparklog.sources.sinks import latest_rows, read_versions, write_version
@@ -221,7 +221,10 @@ def run_ingest(
     raw: DataFrame, load_projects: Callable[[], DataFrame], logs_path: str, errors_path: str, checkpoint: str,
     as_of: When | None = None, every: str | None = None,
 ) -> StreamingQuery:
-    """Raw records to two sinks; the micro-batch is read once and each sink has one folder per batch."""
+    """Raw records to two sinks; the micro-batch is read once and each sink has one folder per batch.
+
+    The progress of the query reports ``ingest``: the records read and those that are valid.
+    """
     def batch(rows: DataFrame, batch_id: int) -> None:
         kept = rows.persist()
         try:
@@ -231,4 +234,7 @@ def run_ingest(
         finally:
             kept.unpersist()
 
-    return start(raw, batch, checkpoint, every=every)
+    counted = raw.observe(
+        "ingest", F.count(F.lit(1)).alias("records"), F.count_if(is_valid()).alias("valid")
+    )
+    return start(counted, batch, checkpoint, every=every)

@@ -211,3 +211,15 @@ def test_sources_round_trip(spark, sf, tmp_path):
         (good.message == F.col("l.message")) & (F.abs(good.timestamp.cast("double") - F.col("l.timestamp").cast("double")) < 0.001)
     )
     assert same.count() == t.logs(spark, sf).count() and bad.count() == 0
+
+
+def test_keyed_anomalies(spark, sf):
+    from sparklog.operators import alerts as al
+    from sparklog.plans.alert_queries import events
+
+    found = events(spark, sf)
+    keyed = sinks.keyed_anomalies(al.event_payload(found))
+    again = al.normalize_anomalies(keyed, "value", T)
+    assert keyed.columns == ["key", "value"]
+    columns = ["event_id", "service_id", "severity", "timestamp", "deduplication_key"]
+    assert again.select(columns).exceptAll(found.select(columns)).isEmpty() and again.count() == found.count()

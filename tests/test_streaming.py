@@ -67,6 +67,16 @@ def test_error_rate_parity_and_restart(spark, sf, files, tmp_path):
     assert final.select("id").subtract(updates.select("id")).isEmpty()
 
 
+def test_append_mode_gives_closed_windows_once(spark, sf, files, tmp_path):
+    windows = jobs.stream_error_rate(t.logs_of(feed(spark, files, tmp_path, FILES)), "1 day", "0 seconds")
+    finish(windows.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out"))
+           .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(), 120)
+    closed = spark.read.schema(schemas.ERROR_RATE_WINDOWS).parquet(str(tmp_path / "out"))
+    want = an.error_rate_windows(batch_logs(spark, sf), "1 day")
+    newest = want.agg(F.max("window_start")).first()[0]
+    assert same(want.where(F.col("window_start") < newest), closed)
+
+
 def test_late_rows_are_dropped_without_grace(spark, tmp_path):
     schema = schemas.table(timestamp="timestamp", project_id="long", service_id="string", level="string")
     start = dt.datetime(2026, 1, 1)
@@ -181,8 +191,11 @@ def test_ingest_stream_equals_batch(spark, sf, files, tmp_path):
     from sparklog.operators.ingest import ingest
 
     raw = t.raw_logs_of(feed(spark, files, tmp_path, FILES))
-    finish(jobs.run_ingest(raw, lambda: t.projects(spark, sf), str(tmp_path / "logs"), str(tmp_path / "errors"),
-                           str(tmp_path / "cp"), t.AS_OF), 240)
+    running = jobs.run_ingest(raw, lambda: t.projects(spark, sf), str(tmp_path / "logs"), str(tmp_path / "errors"),
+                              str(tmp_path / "cp"), t.AS_OF)
+    finish(running, 240)
+    seen = [p.observedMetrics["ingest"] for p in running.recentProgress if "ingest" in p.observedMetrics]
+    assert sum(m.records for m in seen) == t.raw_logs(spark, sf).count() > sum(m.valid for m in seen) > 0
     logs, errors = ingest(t.raw_logs(spark, sf), t.projects(spark, sf), t.AS_OF)
     columns = [c for c in logs.columns if c not in ("metadata", "tags")]
     assert same(logs, read_versions(spark, str(tmp_path / "logs"), schemas.LOG_ENTRY), columns)
