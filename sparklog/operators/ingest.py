@@ -67,12 +67,25 @@ def unauthorized(raw: DataFrame, projects: DataFrame) -> DataFrame:
     return join_dim(_with_key_hash(raw), _active_keys(projects), ["_key_hash"], "left_anti").drop("_key_hash")
 
 
+def _with_record_id(raw: DataFrame) -> DataFrame:
+    """Stable id of a raw row: from ``record_id`` if the input has one, else from all its columns."""
+    if "_id" in raw.columns:
+        return raw
+    identity = ["record_id"] if "record_id" in raw.columns else sorted(raw.columns)
+    return raw.withColumn("_id", stable_id(*[F.col(c) for c in identity]))
+
+
 def _classified(raw: DataFrame, projects: DataFrame) -> DataFrame:
-    """One pass over the raw rows: tenant (null if none) and validity."""
-    joined = join_dim(_with_key_hash(raw), _active_keys(projects), ["_key_hash"], "left")
+    """One pass over the raw rows: stable id, tenant (null if none) and validity."""
+    rows = _with_key_hash(_with_record_id(raw))
+    joined = join_dim(rows, _active_keys(projects), ["_key_hash"], "left")
     return joined.withColumn("_valid", is_valid()).drop("_key_hash")
 
 
+def _accepted() -> Column:
+    return F.col("_valid") & F.col("_project").isNotNull()
+
+
 # --- parsing --------------------------------------------------------------------------------------------
 
 def parse_traceparent(raw: DataFrame) -> DataFrame:
@@ -104,25 +117,22 @@ def _with_json_text(df: DataFrame, fields: dict[str, str]) -> DataFrame:
     return texts.withColumns({c: scalar(c, key) for c, key in fields.items()})
 
 
-def parse_logs(raw: DataFrame, as_of: When, strict: bool = False) -> DataFrame:
-    """Log entries from validated raw rows, by one projection (no split, no union).
+def parse_logs(raw: DataFrame, as_of: When, strict: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Log entries from validated raw rows, by one chain of projections (no split, no union).
 
     JSON records give their own fields; a JSON record that does not parse falls back to the fields of
     the request; every other format keeps the text, with no level and the ingest time. Plain records
     keep the trace ids of the request; ``strict=True`` drops them.
 
     The id is a hash of ``record_id`` if the input has one, else of all columns (equal records then
-    share an id).
+    share an id). ``keep`` names further columns to carry along.
     """
     now = instant(as_of)
     is_json = (F.col("format") == "JSON") | (
         (F.col("format") == "AUTO_DETECT") & F.col("message").rlike(r"\A[\x00-\x20]*\{")
     )
-    identity = ["record_id"] if "record_id" in raw.columns else sorted(raw.columns)
-    docs = raw.withColumns({
-        "_json": is_json,
-        "_doc": F.when(is_json, F.try_parse_json(F.col("message"))),
-        "_id": stable_id(*[F.col(c) for c in identity]),
+    docs = _with_record_id(raw).withColumns({
+        "_json": is_json, "_doc": F.when(is_json, F.try_parse_json(F.col("message"))),
     })
     fields = _with_json_text(docs, {
         "_message": "message", "_level": "level", "_time": "timestamp", "_trace": "traceId", "_trace2": "trace_id",
@@ -147,6 +157,7 @@ def parse_logs(raw: DataFrame, as_of: When, strict: bool = False) -> DataFrame:
         F.when(keeps_trace, F.coalesce("_trace", "_trace2", "trace_id")).alias("trace_id"),
         F.when(keeps_trace, F.coalesce("_span", "_span2", "span_id")).alias("span_id"),
         F.when(keeps_trace, F.col("parent_span_id")).alias("parent_span_id"),
+        *keep,
     )
 
 
@@ -157,50 +168,63 @@ def redact_pii(df: DataFrame, cols: tuple[str, ...] = ("message", "raw_log")) ->
 
 # --- the ingest job -------------------------------------------------------------------------------------
 
+def ingest_outcomes(raw: DataFrame, projects: DataFrame, as_of: When, strict: bool = False) -> DataFrame:
+    """Every raw row once, with ``outcome`` ``logs`` or ``errors`` and, for the latter, ``error_id`` and ``error``.
+
+    Written with ``write_outcomes`` it fills both sinks in one pass over the raw rows. With a small
+    project table nothing is shuffled.
+    """
+    rows = _classified(raw, projects)
+    outcome = F.when(_accepted(), "logs").otherwise("errors")
+    failed = with_errors(rows).withColumns({
+        "outcome": outcome, "error_id": F.when(~_accepted(), _error_id(rows)),
+        "error": F.when(~_accepted(), _error_text()), "project_id": F.col("_project"),
+    })
+    entries = parse_logs(parse_traceparent(failed), as_of, strict, keep=("outcome", "error_id", "error"))
+    return redact_pii(entries)
+
+
 def ingest(
     raw: DataFrame, projects: DataFrame, as_of: When, strict: bool = False
 ) -> tuple[DataFrame, DataFrame]:
-    """(logs, errors). Narrow plans: with a small project table nothing is shuffled before the sinks."""
-    rows = _classified(raw, projects)
-    return _accepted_logs(rows, as_of, strict), _error_rows(rows)
+    """(logs, errors), each as its own narrow plan."""
+    return split_outcomes(ingest_outcomes(raw, projects, as_of, strict))
+
 
+def split_outcomes(outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(logs, errors) of an outcome table."""
+    logs = outcomes.where(F.col("outcome") == "logs").drop("outcome", "error_id", "error")
+    errors = outcomes.where(F.col("outcome") == "errors")
+    return logs, errors.select(F.col("error_id").alias("id"), F.col("error").alias("message"))
 
-def _accepted_logs(rows: DataFrame, as_of: When, strict: bool) -> DataFrame:
-    accepted = rows.where(F.col("_valid") & F.col("_project").isNotNull())
-    accepted = accepted.withColumn("project_id", F.col("_project")).drop("_project", "_valid")
-    return redact_pii(parse_logs(parse_traceparent(accepted), as_of, strict))
 
+def _error_id(rows: DataFrame) -> Column:
+    return F.coalesce(F.col("record_id"), F.lit("unknown")) if "record_id" in rows.columns else F.lit("unknown")
 
-def _error_rows(rows: DataFrame) -> DataFrame:
-    failed = with_errors(rows.where(~F.col("_valid") | F.col("_project").isNull()))
+
+def _error_text() -> Column:
+    """Reason and redacted raw text of a failed row with its ``errors`` map."""
     reason = F.when(
-        ~F.col("_valid"),
-        F.concat(F.lit(C.VALIDATION_TEXT + ": "), F.array_join(F.map_values("errors"), "; ")),
+        ~F.col("_valid"), F.concat(F.lit(C.VALIDATION_TEXT + ": "), F.array_join(F.map_values("errors"), "; "))
     ).otherwise(F.lit(C.UNAUTHORIZED_TEXT))
-    record_id = F.col("record_id") if "record_id" in failed.columns else F.lit(None).cast("string")
-    return failed.select(
-        F.coalesce(record_id, F.lit("unknown")).alias("id"),
-        F.concat(
-            F.lit("Failed processing log: "), reason,
-            F.lit(" | Raw: "), redact(F.coalesce(F.col("message"), F.lit("null"))),
-        ).alias("message"),
+    return F.concat(
+        F.lit("Failed processing log: "), reason, F.lit(" | Raw: "), redact(F.coalesce(F.col("message"), F.lit("null")))
     )
 
 
 def ingest_errors(raw: DataFrame, projects: DataFrame) -> DataFrame:
-    """Error rows ``(id or "unknown", text)``; the raw text in them is redacted as well."""
-    return _error_rows(_classified(raw, projects))
+    """Error rows ``(id or "unknown", text)``."""
+    rows = _classified(raw, projects)
+    failed = with_errors(rows.where(~_accepted()))
+    return failed.select(_error_id(rows).alias("id"), _error_text().alias("message"))
 
 
 def ingest_status(raw: DataFrame, projects: DataFrame, as_of: When) -> DataFrame:
     """One response row per record."""
-    rows = _classified(raw, projects)
-    identity = ["record_id"] if "record_id" in raw.columns else sorted(raw.columns)
-    ok = F.col("_valid") & F.col("_project").isNotNull()
-    return rows.select(
-        F.when(ok, stable_id(*[F.col(c) for c in identity])).alias("id"),
-        F.when(ok, C.ACCEPTED).otherwise(C.ERROR).alias("status"),
-        F.when(ok, C.ACCEPTED_TEXT).when(~F.col("_valid"), C.VALIDATION_TEXT)
+    return _classified(raw, projects).select(
+        F.when(_accepted(), F.col("_id")).alias("id"),
+        F.when(_accepted(), C.ACCEPTED).otherwise(C.ERROR).alias("status"),
+        F.when(_accepted(), C.ACCEPTED_TEXT).when(~F.col("_valid"), C.VALIDATION_TEXT)
         .otherwise(C.UNAUTHORIZED_TEXT).alias("message"),
         instant(as_of).alias("timestamp"),
     )

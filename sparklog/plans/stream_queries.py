@@ -20,7 +20,6 @@ from sparklog.plans.registry import query
 from sparklog.session import scratch_dir
 from sparklog.sources import tables as t
 from sparklog.sources.readers import stream_anomalies, stream_logs
-from sparklog.sources.sinks import read_versions
 from sparklog.streaming import jobs
 
 EVENTS = schemas.table(
@@ -130,11 +129,9 @@ def stream_index(spark, d):
 def _ingested(spark, d):
     root = scratch_dir(spark, "ingest")
     finish(jobs.run_ingest(
-        t.raw_logs_of(event_stream(spark, d)), lambda: t.projects(spark, d), f"{root}/logs", f"{root}/errors",
-        f"{root}/cp", t.AS_OF,
+        t.raw_logs_of(event_stream(spark, d)), lambda: t.projects(spark, d), f"{root}/out", f"{root}/cp", t.AS_OF
     ))
-    return (read_versions(spark, f"{root}/logs", schemas.LOG_ENTRY),
-            read_versions(spark, f"{root}/errors", schemas.INGEST_ERROR))
+    return jobs.read_ingested(spark, f"{root}/out")
 
 
 @query("stream_ingest", sql(f"""

@@ -32,6 +32,9 @@ LOG_DOCUMENT = table(
 
 INGEST_ERROR = table(id="string", message="string")
 
+# Log entry columns, then the outcome and the error of a failed row.
+INGEST_OUTCOME = T.StructType([*LOG_ENTRY.fields]).add("error_id", "string").add("error", "string").add("outcome", "string")
+
 MINUTE_COUNTS = table(
     project_id="long", service_id="string", bucket="timestamp", total="long", error="long", warn="long"
 )

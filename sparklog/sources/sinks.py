@@ -41,15 +41,22 @@ def write_documents(docs: DataFrame, path: str, mode: str = "overwrite") -> None
 write_logs = write_documents
 
 
+def write_outcomes(outcomes: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Logs and errors of ``ingest_outcomes`` in one pass, as the folders ``outcome=logs`` and ``outcome=errors``."""
+    writer = outcomes.write.mode(mode).option("partitionOverwriteMode", "static")
+    writer.partitionBy("outcome").parquet(path)
+
+
 def write_errors(errors: DataFrame, path: str, mode: str = "append") -> None:
     errors.write.mode(mode).parquet(path)
 
 
 # --- tables kept as one folder per micro-batch ----------------------------------------------------------
 
-def write_version(df: DataFrame, path: str, version: int) -> None:
+def write_version(df: DataFrame, path: str, version: int, *partitions: str) -> None:
     """Write the rows of one micro-batch to its own folder; a replayed batch replaces itself."""
-    df.write.mode("overwrite").parquet(f"{path}/version={version}")
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
+    writer.partitionBy(*partitions).parquet(f"{path}/version={version}")
 
 
 def has_versions(spark: SparkSession, path: str) -> bool:

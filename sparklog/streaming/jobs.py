@@ -20,7 +20,7 @@ from sparklog.functions.clock import shift, width_seconds
 from sparklog.operators.alerts import normalize_anomalies, route_alerts
 from sparklog.operators.anomaly import error_rate_anomalies, error_rate_windows, recent_anomalies, volume_anomalies_backfill
 from sparklog.operators.delivery import enqueue_deliveries
-from sparklog.operators.ingest import When, ingest, is_valid
+from sparklog.operators.ingest import When, ingest_outcomes, is_valid, split_outcomes
 from sparklog.operators.metrics import match_metrics, minute_counts
 from sparklog.operators.search import to_log_documents
 from sparklog.sources.sinks import latest_rows, read_versions, write_version
@@ -218,23 +218,23 @@ def run_index(
 
 
 def run_ingest(
-    raw: DataFrame, load_projects: Callable[[], DataFrame], logs_path: str, errors_path: str, checkpoint: str,
+    raw: DataFrame, load_projects: Callable[[], DataFrame], path: str, checkpoint: str,
     as_of: When | None = None, every: str | None = None,
 ) -> StreamingQuery:
-    """Raw records to two sinks; the micro-batch is read once and each sink has one folder per batch.
+    """Raw records to logs and errors: one pass per micro-batch writes both, in its own folder.
 
     The progress of the query reports ``ingest``: the records read and those that are valid.
     """
     def batch(rows: DataFrame, batch_id: int) -> None:
-        kept = rows.persist()
-        try:
-            logs, errors = ingest(kept, load_projects(), F.current_timestamp() if as_of is None else as_of)
-            write_version(logs, logs_path, batch_id)
-            write_version(errors, errors_path, batch_id)
-        finally:
-            kept.unpersist()
+        now = F.current_timestamp() if as_of is None else as_of
+        write_version(ingest_outcomes(rows, load_projects(), now), path, batch_id, "outcome")
 
     counted = raw.observe(
         "ingest", F.count(F.lit(1)).alias("records"), F.count_if(is_valid()).alias("valid")
     )
     return start(counted, batch, checkpoint, every=every)
+
+
+def read_ingested(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(logs, errors) of :func:`run_ingest`."""
+    return split_outcomes(read_versions(spark, path, schemas.INGEST_OUTCOME).drop("version"))

@@ -178,6 +178,19 @@ def test_ingest_accounts_for_every_row(spark, sf):
     assert logs.where("project_id = 99").count() == 0
 
 
+def test_outcomes_fill_both_sinks_in_one_pass(spark, sf, tmp_path):
+    from sparklog.sources import tables as t
+
+    rows, projects = t.raw_logs(spark, sf).drop("record_id"), t.projects(spark, sf)
+    sinks.write_outcomes(ing.ingest_outcomes(rows, projects, T), str(tmp_path / "out"))
+    stored = spark.read.schema(schemas.INGEST_OUTCOME).parquet(str(tmp_path / "out"))
+    logs, errors = ing.split_outcomes(stored)
+    assert logs.count() + errors.count() == rows.count() and logs.columns == schemas.LOG_ENTRY.names
+    accepted = ing.ingest_status(rows, projects, T).where("status = 'ACCEPTED'").select("id")
+    assert accepted.exceptAll(logs.select("id")).isEmpty() and accepted.count() == logs.count()
+    assert errors.where("id = 'unknown'").count() == errors.count()
+
+
 def test_decode_log_events(spark):
     event = {"id": "e", "serviceId": "s", "level": "WARN", "message": "m", "timestamp": 1726480800.5, "projectId": 7}
     rows = texts(spark, json.dumps(event), "{broken", "12")

@@ -191,12 +191,11 @@ def test_ingest_stream_equals_batch(spark, sf, files, tmp_path):
     from sparklog.operators.ingest import ingest
 
     raw = t.raw_logs_of(feed(spark, files, tmp_path, FILES))
-    running = jobs.run_ingest(raw, lambda: t.projects(spark, sf), str(tmp_path / "logs"), str(tmp_path / "errors"),
-                              str(tmp_path / "cp"), t.AS_OF)
+    running = jobs.run_ingest(raw, lambda: t.projects(spark, sf), str(tmp_path / "out"), str(tmp_path / "cp"), t.AS_OF)
     finish(running, 240)
     seen = [p.observedMetrics["ingest"] for p in running.recentProgress if "ingest" in p.observedMetrics]
     assert sum(m.records for m in seen) == t.raw_logs(spark, sf).count() > sum(m.valid for m in seen) > 0
     logs, errors = ingest(t.raw_logs(spark, sf), t.projects(spark, sf), t.AS_OF)
     columns = [c for c in logs.columns if c not in ("metadata", "tags")]
-    assert same(logs, read_versions(spark, str(tmp_path / "logs"), schemas.LOG_ENTRY), columns)
-    assert same(errors, read_versions(spark, str(tmp_path / "errors"), schemas.INGEST_ERROR), ["id", "message"])
+    stored_logs, stored_errors = jobs.read_ingested(spark, str(tmp_path / "out"))
+    assert same(logs, stored_logs, columns) and same(errors, stored_errors)
