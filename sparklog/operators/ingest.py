@@ -179,7 +179,7 @@ def ingest_outcomes(raw: DataFrame, projects: DataFrame, as_of: When, strict: bo
     failed = with_errors(rows).withColumns({
         "outcome": outcome, "error_id": F.when(~_accepted(), _error_id(rows)),
         "error": F.when(~_accepted(), _error_text()), "project_id": F.col("_project"),
-    })
+    }).withColumn("message", F.when(F.col("outcome") == "logs", F.col("message")))  # a failed row is not parsed
     entries = parse_logs(parse_traceparent(failed), as_of, strict, keep=("outcome", "error_id", "error"))
     return redact_pii(entries)
 
