@@ -68,7 +68,7 @@ Details:
 
 Please investigate immediately.
 
-- Intelligent Log Analyzer System
+- %s
 """
 
 # Log annotation.

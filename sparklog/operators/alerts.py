@@ -110,8 +110,8 @@ def route_alerts(events: DataFrame) -> DataFrame:
     return events.where(F.upper(F.coalesce("severity", F.lit("UNKNOWN"))).isin("HIGH", "CRITICAL"))
 
 
-def render_alerts(events: DataFrame, tz: str = "UTC") -> DataFrame:
-    """Subject and body of the alert for every event. Nothing is sent."""
+def render_alerts(events: DataFrame, tz: str = "UTC", sender: str = "Log Analytics") -> DataFrame:
+    """Subject and body of the alert for every event, signed by ``sender``. Nothing is sent."""
     local = F.from_utc_timestamp("timestamp", tz)
     time = F.coalesce(F.date_format(local, "yyyy-MM-dd HH:mm:ss"), F.lit("unknown"))
 
@@ -122,7 +122,8 @@ def render_alerts(events: DataFrame, tz: str = "UTC") -> DataFrame:
         "event_id", "project_id", "service_id",
         F.format_string(C.ALERT_SUBJECT, shown("service_id")).alias("subject"),
         F.format_string(
-            C.ALERT_BODY, shown("service_id"), shown("severity"), shown("detector"), shown("project_id"), time
+            C.ALERT_BODY, shown("service_id"), shown("severity"), shown("detector"), shown("project_id"), time,
+            F.lit(sender),
         ).alias("body"),
     )
 

@@ -75,7 +75,7 @@ def route_alerts(spark, d):
       concat_ws(chr(10), 'ATTENTION DEVOPS TEAM,', '', 'An anomaly has been detected in the production environment.', '', 'Details:',
         '- Service ID: ' || service_id, '- Severity: ' || severity, '- Detector: ' || detector, '- Project ID: ' || project_id,
         '- Detection Time: ' || strftime("timestamp", '%Y-%m-%d %H:%M:%S'), '', 'Please investigate immediately.', '',
-        '- Intelligent Log Analyzer System', '') AS body FROM routed""", "routed"))
+        '- Log Analytics', '') AS body FROM routed""", "routed"))
 def render_alerts(spark, d):
     return al.render_alerts(routed(spark, d))
 
