@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import os
+import shutil
+import tempfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the workers once, unless they find it where the driver does (PYTHONPATH or working folder)."""
+    root = Path(__file__).resolve().parents[2]
+    known = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
+    context = spark.sparkContext
+    if not any(p and Path(p).resolve() == root for p in known) and not any(
+            "sparklog-" in str(f) for f in context._python_includes):
+        name = Path(tempfile.mkdtemp()) / f"sparklog-{os.getpid()}"
+        context.addPyFile(shutil.make_archive(str(name), "zip", root, "sparklog"))
+
+
 def token_file() -> str:
     import public_tokenizers
 
@@ -56,9 +72,17 @@ def op10_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iblt.versions(table(spark, sf_dir, "documents"))
 
 
+def _shipped(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return fn(spark, sf_dir)
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     fns = (op1_simhash, op2_warc, op4_fair_mix, op6_packing, op7_jump_shards, op8_quality_ledger, op9_line_dedup, op10_iblt)
-    return {fn.__name__: fn for fn in fns}
+    return {fn.__name__: _shipped(fn) for fn in fns}
 
 
 def oracle_sql() -> dict[str, str]:
