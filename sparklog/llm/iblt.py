@@ -1,130 +1,131 @@
 """Document fingerprints as invertible Bloom lookup sketches of paragraph digests.
 
 A digest is added to one cell of each of three tables; a cell holds the number of its digests, their exclusive or, and
-that of their check hashes. Two sketches subtract cell by cell, which leaves the digests that only one text has; cells
-with a single digest are peeled until the table is empty. If it does not empty, larger sketches of the same texts are
-tried: the digests are dealt to as many tables as their number needs, and a table that fails to more again. What
-no table gives up is compared digest by digest, so that no result is missing. Built-in expressions only.
+that of their check hashes. Two sketches subtract cell by cell, which leaves the digests that only one text has. Cells
+with a single digest are peeled until nothing is left. If something is, the pair is tried again with sketches as large
+as its texts need, then with larger ones; what no sketch gives up is compared digest by digest, so that no result is
+missing.
+
+Cells are rows: a sketch is a sum and two exclusive ors by (document, cell), and a round of peeling is one more of them.
+All of a document's cells share its partition, so texts are shuffled once and digests once. Built-in expressions only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparklog.llm.common import let, text_of
+from sparklog.llm.common import stored, text_of
 
 #: A paragraph is a line, or a part of one of so many words.
-UNIT_WORDS = 16
+UNIT_WORDS = 32
 UNIT = r"(?:[^\x20\x09-\x0D]++[\x20\x09\x0B-\x0D]*+){1,%d}" % UNIT_WORDS
-TABLES, WIDTH = 3, 8
-CELLS = TABLES * WIDTH
-ROUNDS = 16
-#: Digests that a table of CELLS is given when a larger sketch is made, and the parts of a table that failed.
-LOAD, PARTS = 8, 4
+TABLES = 3
+#: Cells of each table of a fingerprint; larger sketches have so many more for each digest of the two texts.
+WIDTH = 8
+LARGER = (1, 4)
+ROUNDS = 12
 #: Buckets of the document order for each shuffle partition, and at most.
 SPREAD, MOST_BUCKETS = 4, 8192
 
 
 def digests(text: Column) -> Column:
-    """The distinct 64-bit digests of a text's paragraphs."""
+    """The distinct digests of a text's paragraphs: 63 bits of a hash, as negative numbers."""
     units = F.regexp_extract_all(text, F.lit(UNIT), F.lit(0))
-    return F.array_distinct(F.transform(units, lambda u: F.xxhash64(F.rtrim(u, F.lit(" \t\n\x0b\f\r")))))
-
-
-def items(keys: Column) -> Column:
-    """Each digest with its check hash and its cells."""
-    def item(key: Column) -> Column:
-        return let(F.xxhash64(key), lambda check: F.struct(
-            key.alias("key"), check.alias("check"), F.array(*[
-                (F.pmod(F.shiftrightunsigned(check, 16 * t), F.lit(WIDTH)) + t * WIDTH).cast("int") for t in range(TABLES)
-            ]).alias("cells")))
-    return F.transform(keys, item)
-
-
-def _xor(rows: Column, name: str) -> Column:
-    return F.aggregate(rows, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x[name]))
-
-
-def sketch(found: Column) -> Column:
-    """The cells of some items: n, key, check."""
-    return F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda cell: let(
-        F.filter(found, lambda x: F.array_contains(x["cells"], cell)),
-        lambda rows: F.struct(F.size(rows).alias("n"), _xor(rows, "key").alias("key"), _xor(rows, "check").alias("check"))))
+    return F.array_distinct(F.transform(units, lambda u: F.xxhash64(
+        F.rtrim(u, F.lit(" \t\n\x0b\f\r"))).bitwiseOR(F.lit(-(1 << 63)))))
 
 
-def subtract(a: Column, b: Column) -> Column:
-    """The cells of what only one of two sketches holds; n is negative for what only the second does."""
-    return F.zip_with(a, b, lambda x, y: F.struct(
-        (x["n"] - y["n"]).alias("n"), x["key"].bitwiseXOR(y["key"]).alias("key"),
-        x["check"].bitwiseXOR(y["check"]).alias("check")))
+def _slot(table: int, check: Column) -> Column:
+    width = F.col("width").cast("long")
+    return table * width + F.pmod(F.shiftrightunsigned(check, 21 * table), width)
 
 
-def _peeled(cells: Column, pure: Column) -> Column:
-    """The cells without the pure digests."""
-    return F.transform(cells, lambda c, i: let(
-        F.filter(pure, lambda p: F.array_contains(p["item"]["cells"], i)), lambda hits: F.when(F.size(hits) == 0, c).otherwise(
-            F.struct(
-                F.aggregate(hits, c["n"], lambda a, p: a - p["n"]).alias("n"),
-                F.aggregate(hits, c["key"], lambda a, p: a.bitwiseXOR(p["item"]["key"])).alias("key"),
-                F.aggregate(hits, c["check"], lambda a, p: a.bitwiseXOR(p["item"]["check"])).alias("check")))))
+def _cells(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows (slot, n, key, check) summed into cells; empty cells go."""
+    return rows.groupBy(*by, "width", "slot").agg(
+        F.sum("n").alias("n"), F.bit_xor("key").alias("key"), F.bit_xor("check").alias("check"),
+    ).filter("n <> 0 or key <> 0 or check <> 0")
 
 
-def peel(cells: Column) -> Column:
-    """The digests of a subtracted sketch, or null if it does not empty: key, and n of 1 (first only) or -1."""
-    def step(state: Column, _: Column) -> Column:
-        single = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (F.xxhash64(c["key"]) == c["check"]))
-        pure = F.array_distinct(F.transform(single, lambda c: F.struct(
-            c["n"].alias("n"), F.get(items(F.array(c["key"])), F.lit(0)).alias("item"))))
-        return F.when(F.size(single) == 0, state).otherwise(let(pure, lambda ps: F.struct(
-            _peeled(state["cells"], ps).alias("cells"),
-            F.concat(state["found"], F.transform(ps, lambda p: F.struct(p["item"]["key"].alias("key"), p["n"].alias("n")))).alias("found"))))
+def sketch(rows: DataFrame, by: Sequence[str], salt: int = 0) -> DataFrame:
+    """The cells of rows (key, n, width), for each ``by``; ``salt`` chooses the hash that places the digests."""
+    check = F.xxhash64("key", F.lit(salt))
+    placed = F.array(*[F.struct(
+        _slot(t, F.col("check")).alias("slot"), F.col("n"), F.col("key"), F.col("check")) for t in range(TABLES)])
+    return _cells(rows.withColumn("check", check).select(*by, "width", F.inline(placed)), by)
 
-    none = F.array().cast("array<struct<key:bigint,n:int>>")
-    rounds = F.sequence(F.lit(1), F.lit(ROUNDS))
-    done = F.aggregate(rounds, F.struct(cells.alias("cells"), none.alias("found")), step)
-    return let(done, lambda s: F.when(
-        F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["key"] == 0) & (c["check"] == 0)), s["found"]))
 
+def peel(cells: DataFrame, by: Sequence[str], salt: int = 0) -> DataFrame:
+    """The cells after ROUNDS of peeling. A peeled digest is a row with itself as slot (a negative number) and n of 1 or
+    -1; rows with other slots are what could not be peeled.
 
-def _part(found: Column, parts: Column, part: Column, shift: int) -> Column:
-    return F.filter(found, lambda x: F.pmod(F.shiftrightunsigned(x["key"], shift), parts) == part)
-
-
-def difference(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
-    """The digests that one of two texts has and the other has not, from their items and sketches."""
-    def dealt(a: Column, b: Column, parts: Column, shift: int, solve) -> Column:
-        return F.flatten(F.transform(F.sequence(F.lit(0), (parts - 1).cast("int")), lambda part: let(
-            F.struct(_part(a, parts, part, shift).alias("a"), _part(b, parts, part, shift).alias("b")),
-            lambda both: solve(both["a"], both["b"]))))
-
-    def table(a: Column, b: Column) -> Column:
-        return peel(subtract(sketch(a), sketch(b)))
-
-    def smaller(a: Column, b: Column) -> Column:
-        return F.coalesce(table(a, b), dealt(a, b, F.lit(PARTS), 32, table))
-
-    def exact(a: Column, b: Column) -> Column:
-        one, two = (F.transform(x, lambda i: i["key"]) for x in (a, b))
-        return F.concat(*[F.transform(F.array_except(x, y), lambda k, n=n: F.struct(k.alias("key"), F.lit(n).alias("n")))
-                          for x, y, n in ((one, two, 1), (two, one, -1))])
-
-    tables = F.ceil((F.size(a) + F.size(b)) / F.lit(LOAD))
-    return F.coalesce(peel(subtract(cells_a, cells_b)), dealt(a, b, F.greatest(tables, F.lit(1)), 8, smaller), exact(a, b))
+    A round looks at one table, in which a digest has one cell, so no digest is peeled twice in it.
+    """
+    for round_ in range(ROUNDS):
+        table = round_ % TABLES
+        low, n, key, check = F.col("width") * table, F.col("n"), F.col("key"), F.col("check")
+        pure = (F.col("slot") >= low) & (F.col("slot") < low + F.col("width")) & (F.abs(n) == 1) & (key < 0) & (
+            check == F.xxhash64(key, F.lit(salt))) & (F.col("slot") == _slot(table, check))
+        zero = F.lit(0).cast("long")
+        gone = [F.struct(_slot(t, check).alias("slot"), (-n).alias("n"), key.alias("key"), check.alias("check"))
+                for t in range(TABLES) if t != table]
+        found = F.struct(key.alias("slot"), n.alias("n"), zero.alias("key"), zero.alias("check"))
+        same = F.struct("slot", "n", "key", "check")
+        cells = _cells(cells.select(*by, "width", F.inline(F.when(pure, F.array(found, *gone)).otherwise(F.array(same)))), by)
+    return cells
+
+
+def _signed(arrays: DataFrame) -> DataFrame:
+    """(rid, pair, key, n): the digests of a document (1) against those of its edited text and of the next (-1)."""
+    one = F.lit(1).cast("long")
+    sides = [F.struct(F.lit(pair).alias("pair"), F.col(x).alias("keys"), (one * n).alias("n"))
+             for pair, other in ((1, "b"), (2, "c")) for x, n in (("a", 1), (other, -1))]
+    return arrays.select("rid", F.inline(F.array(*sides))).select("rid", "pair", "n", F.explode("keys").alias("key"))
+
+
+def _outcome(peeled: DataFrame) -> DataFrame:
+    """(rid, pair, differing, failed) of every pair that has a row left."""
+    return peeled.groupBy("rid", "pair").agg(
+        F.count_if(F.col("slot") < 0).alias("differing"), (F.count_if(F.col("slot") >= 0) > 0).alias("failed"))
+
+
+def differences(arrays: DataFrame, base: DataFrame) -> DataFrame:
+    """(rid, pair, differing): how many digests differ, for every pair with any; from the sketches ``base`` (rid, v, cells)
+    of the three versions, and from larger ones of the digests in ``arrays`` (rid, a, b, c) where those fail."""
+    by = ["rid", "pair"]
+    pairs = F.when(F.col("v") == 0, F.array(
+        F.struct(F.lit(1).alias("pair"), F.col("n").alias("n")), F.struct(F.lit(2).alias("pair"), F.col("n").alias("n")),
+    )).otherwise(F.array(F.struct(F.col("v").alias("pair"), (-F.col("n")).alias("n"))))
+    subtracted = _cells(base.select("rid", "width", "slot", "key", "check", F.inline(pairs)), by)
+    last = stored(_outcome(peel(subtracted, by)), "sketch-0")
+    solved = last.filter("not failed")
+    for level, factor in enumerate(LARGER, 1):
+        failed = last.filter("failed").select(*by)
+        sizes = F.size("a") + F.when(F.col("pair") == 1, F.size("b")).otherwise(F.size("c"))
+        widths = arrays.join(failed, "rid").select(*by, (WIDTH + factor * sizes).cast("long").alias("width"))
+        rows = _signed(arrays).join(widths, by)
+        last = stored(_outcome(peel(sketch(rows, by, level), by, level)), f"sketch-{level}")
+        solved = solved.unionByName(last.filter("not failed"))
+    rest = _signed(arrays).join(last.filter("failed").select(*by), by).groupBy(*by, "key").agg(F.sum("n").alias("n"))
+    exact = rest.filter("n <> 0").groupBy(*by).agg(F.count("*").alias("differing"))
+    return solved.select(*by, "differing").unionByName(exact)
 
 
 def likeness(a: Column, b: Column, differing: Column) -> Column:
     """Shared digests of all digests of two texts; two texts without any are alike."""
-    both = F.size(a) + F.size(b)
-    return F.when(both == 0, F.lit(1.0)).otherwise((both - F.size(differing)) / (both + F.size(differing)))
+    both, d = F.size(a) + F.size(b), F.coalesce(differing, F.lit(0))
+    return F.when(both == 0, F.lit(1.0)).otherwise((both - d) / (both + d))
 
 
-def written(cells: Column) -> Column:
-    """A sketch as hexadecimal text: 8 digits of n, 16 of key and check, for each cell."""
-    def digits(value: Column, n: int) -> Column:
-        return F.lpad(F.lower(F.hex(value)), n, "0")
-    return F.array_join(F.transform(cells, lambda c: F.concat(
-        digits(c["n"], 8), digits(c["key"], 16), digits(c["check"], 16))), "")
+def written(v: int) -> Column:
+    """A version's cells as hexadecimal text: 2 digits of the slot, 6 of n, 16 of key and of check, for each in use."""
+    def digits(name: str, n: int) -> Column:
+        return F.lpad(F.lower(F.hex(name)), n, "0")
+    cell = F.concat(digits("slot", 2), digits("n", 6), digits("key", 16), digits("check", 16))
+    return F.array_join(F.sort_array(F.collect_list(F.when(F.col("v") == v, cell))), "")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -174,16 +175,20 @@ def versions(docs: DataFrame) -> DataFrame:
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.col("next_text"), F.lit(1), third))
-    texts = with_next(docs).withColumn("edited", edited)
-    held = texts.select(
-        "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        items(F.col("keys")).alias("a"), items(digests(F.col("edited"))).alias("b"), items(F.col("next_keys")).alias("c"))
-
-    def result(row: Column) -> Column:
-        sketches = F.struct(*[sketch(row[x]).alias(x) for x in "abc"])
-        return let(sketches, lambda s: F.struct(
-            written(s["a"]).alias("fingerprint"), written(s["b"]).alias("edited_fingerprint"),
-            likeness(row["a"], row["b"], difference(row["a"], row["b"], s["a"], s["b"])).alias("near_edited"),
-            likeness(row["a"], row["c"], difference(row["a"], row["c"], s["a"], s["c"])).alias("near_next")))
-
-    return held.withColumn("out", let(F.struct("a", "b", "c"), result)).select("doc_id", "n_chars", "edited_sha256", "out.*")
+    held = stored(with_next(docs).withColumn("edited", edited).select(
+        F.monotonically_increasing_id().alias("rid"), "doc_id", n.cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        F.col("keys").alias("a"), digests(F.col("edited")).alias("b"), F.col("next_keys").alias("c")), "sketch-digests")
+    arrays = held.select("rid", "a", "b", "c").repartition("rid")
+    rows = arrays.select("rid", F.posexplode(F.array("a", "b", "c")).alias("v", "keys")).select(
+        "rid", "v", F.explode("keys").alias("key"), F.lit(1).cast("long").alias("n"), F.lit(WIDTH).cast("long").alias("width"))
+    base = sketch(rows, ["rid", "v"])
+    prints = base.filter("v < 2").groupBy("rid").agg(written(0).alias("fingerprint"), written(1).alias("edited_fingerprint"))
+    near = differences(arrays, base).groupBy("rid").agg(*[
+        F.max(F.when(F.col("pair") == p, F.col("differing"))).alias(f"differing_{p}") for p in (1, 2)])
+    return held.join(prints, "rid", "left").join(near, "rid", "left").select(
+        "doc_id", "n_chars", "edited_sha256",
+        F.coalesce("fingerprint", F.lit("")).alias("fingerprint"),
+        F.coalesce("edited_fingerprint", F.lit("")).alias("edited_fingerprint"),
+        likeness(F.col("a"), F.col("b"), F.col("differing_1")).alias("near_edited"),
+        likeness(F.col("a"), F.col("c"), F.col("differing_2")).alias("near_next"))

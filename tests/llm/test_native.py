@@ -167,11 +167,31 @@ def test_last_document_takes_from_the_first(spark):
 
 
 def test_peeling_recovers_the_differing_digests(spark):
-    """Small differences from one pair of sketches, large ones from larger sketches, with their sign."""
-    rows = [(list(range(n)), list(range(d, n + 2 * d))) for n, d in ((5, 1), (40, 3), (60, 40), (500, 7), (300, 300), (0, 0), (0, 9))]
-    frame = spark.createDataFrame(rows, "a array<long>, b array<long>").withColumns(
-        {x: iblt.items(F.transform(x, lambda k: F.xxhash64(k))) for x in "ab"})
-    found = frame.withColumn("d", iblt.difference(F.col("a"), F.col("b"), iblt.sketch(F.col("a")), iblt.sketch(F.col("b"))))
-    for r in found.collect():
-        a, b = {x.key for x in r.a}, {x.key for x in r.b}
-        assert Counter((x.key, x.n) for x in r.d) == Counter({**{(k, 1): 1 for k in a - b}, **{(k, -1): 1 for k in b - a}})
+    """Small differences from fingerprints, large ones from larger sketches, with their sign."""
+    sets = [(range(n), range(d, n + 2 * d)) for n, d in ((5, 1), (40, 3), (60, 40), (500, 7), (300, 300), (9, 0), (0, 9))]
+    digest = F.xxhash64("k").bitwiseOR(F.lit(-(1 << 63))).alias("key")
+    for width in (8, 700):
+        signed = [(i, k, n, width) for i, (a, b) in enumerate(sets) for part, n in ((a, 1), (b, -1)) for k in part]
+        rows = spark.createDataFrame(signed, "rid long, k long, n long, width long").select("rid", digest, "n", "width")
+        want = Counter()
+        for r in rows.collect():
+            want[r.rid, r.key] += r.n
+        found = iblt.peel(iblt.sketch(rows, ["rid"]), ["rid"]).collect()
+        failed = {r.rid for r in found if r.slot >= 0}
+        got = {(r.rid, r.slot): r.n for r in found if r.slot < 0 and r.rid not in failed}
+        assert got == {k: n for k, n in want.items() if n and k[0] not in failed}
+        assert {2, 4} <= failed <= {2, 3, 4} if width == 8 else not failed
+
+
+def test_every_way_to_a_difference(spark, monkeypatch):
+    """Digest by digest where no sketch is large enough, with the same result."""
+    rows = [(i, [-k for k in range(1, n + 1)], [-k for k in range(1, n + 2)], [-k for k in range(500, 500 + n)])
+            for i, n in enumerate((0, 1, 12, 200))]
+    arrays = spark.createDataFrame(rows, "rid long, a array<long>, b array<long>, c array<long>")
+    keys = arrays.select("rid", F.posexplode(F.array("a", "b", "c")).alias("v", "keys")).select(
+        "rid", "v", F.explode("keys").alias("key"), F.lit(1).cast("long").alias("n"), F.lit(8).cast("long").alias("width"))
+    want = {(i, 1): 1 for i in range(4)} | {(i, 2): 2 * n for i, n in ((1, 1), (2, 12), (3, 200))}
+    for factors in ((1, 4), (0,)):
+        monkeypatch.setattr(iblt, "LARGER", factors)
+        found = iblt.differences(arrays, iblt.sketch(keys, ["rid", "v"])).collect()
+        assert {(r.rid, r.pair): r.differing for r in found} == want
