@@ -12,7 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparklog.llm import fair_mix, iblt, jump_shards, line_dedup, packing, quality_ledger, simhash, warc
+from sparklog.llm import fair_mix, iblt, jump_shards, langid, line_dedup, packing, quality_ledger, simhash, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,10 +45,18 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), token_file())
 
@@ -81,7 +89,8 @@ def _shipped(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fns = (op1_simhash, op2_warc, op4_fair_mix, op6_packing, op7_jump_shards, op8_quality_ledger, op9_line_dedup, op10_iblt)
+    fns = (op1_simhash, op2_warc, op3_toxicity, op4_fair_mix, op5_langid, op6_packing, op7_jump_shards, op8_quality_ledger,
+           op9_line_dedup, op10_iblt)
     return {fn.__name__: _shipped(fn) for fn in fns}
 
 
