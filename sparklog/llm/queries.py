@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from sparklog.llm import fair_mix, iblt, jump_shards, langid, line_dedup, packing, quality_ledger, simhash, toxicity, warc
 
+from sparklog.llm.check_sql import SQL
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -95,4 +97,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
