@@ -14,6 +14,7 @@ from sparklog.operators.joins import join_dim, top_per_group
 from sparklog.schemas import DELIVERIES
 
 PAIR = ["subscription_id", "event_id"]
+WAITING = ("PENDING", "RETRY_PENDING")
 HISTORY_COLUMNS = (
     "id", "subscription_id", "event_id", "status", "attempts", "http_status", "latency_ms", "next_attempt_at",
     "delivered_at", "last_error", "created_at",
@@ -46,24 +47,43 @@ def enqueue_deliveries(
 def due_deliveries(deliveries: DataFrame, as_of: When, k: int = 100) -> DataFrame:
     """Per waiting status, the ``k`` earliest due rows."""
     waiting = deliveries.where(
-        F.col("status").isin("PENDING", "RETRY_PENDING") & (F.col("next_attempt_at") <= instant(as_of))
+        F.col("status").isin(*WAITING) & (F.col("next_attempt_at") <= instant(as_of))
     )
     return top_per_group(waiting, ["status"], [F.col("next_attempt_at"), F.col("id")], k)
 
 
 # --- attempts -------------------------------------------------------------------------------------------
 
+def _first_outcomes(outcomes: DataFrame) -> DataFrame:
+    """Per delivery, the ``first`` outcome (unfinished ones last) and their number ``n``, combined before the shuffle."""
+    order = F.struct(F.col("finished_at").isNull().alias("_open"), "finished_at", "http_status", "error", "latency_ms", "body")
+    return outcomes.groupBy("delivery_id").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
+
+
+def ignored_outcomes(deliveries: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Outcomes that :func:`apply_attempts` does not use: ``delivery_id``, their number ``ignored`` and the ``reason``."""
+    known = deliveries.select(F.col("id").alias("delivery_id"), "status", F.lit(True).alias("_known"))
+    rows = _first_outcomes(outcomes).join(known, "delivery_id", "left")
+    waits = F.coalesce(F.col("status").isin(*WAITING), F.lit(False))
+    reason = F.when(F.col("_known").isNull(), "unknown delivery").when(waits, "repeated").otherwise("not waiting")
+    return rows.select(
+        "delivery_id", F.when(waits, F.col("n") - 1).otherwise(F.col("n")).alias("ignored"), reason.alias("reason")
+    ).where("ignored > 0")
+
+
 def apply_attempts(deliveries: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Deliveries after the attempts in ``outcomes`` (at most one per delivery).
+    """Deliveries after one attempt each: the earliest outcome of every delivery that waits.
 
+    Further outcomes of a delivery, and outcomes of one that is DELIVERED or FAILED, change nothing
+    (:func:`ignored_outcomes` counts them).
     2xx delivers. 408, 429, 5xx and errors without a status retry after 30, 120, 600, 1800 s and go to
     the dead letters on the fifth attempt; any other status fails at once. ``dead`` marks the dead
     letters of this step. Rows without an outcome stay as they are.
     """
-    tried = outcomes.select(
-        F.col("delivery_id").alias("id"), F.col("http_status").alias("_http"), F.col("error").alias("_error"),
-        F.col("latency_ms").alias("_latency"), F.col("body").alias("_body"),
-        F.col("finished_at").alias("_at"), F.lit(True).alias("_tried"),
+    tried = _first_outcomes(outcomes).select(
+        F.col("delivery_id").alias("id"), F.col("first.http_status").alias("_http"), F.col("first.error").alias("_error"),
+        F.col("first.latency_ms").alias("_latency"), F.col("first.body").alias("_body"),
+        F.col("first.finished_at").alias("_at"), F.lit(True).alias("_tried"),
     )
     rows = deliveries.join(tried, "id", "left")
     http, attempts = F.col("_http"), F.col("attempts") + 1
@@ -91,7 +111,7 @@ def apply_attempts(deliveries: DataFrame, outcomes: DataFrame) -> DataFrame:
         "last_error": error,
         "updated_at": F.col("_at"),
     }
-    tried_now = F.coalesce("_tried", F.lit(False))
+    tried_now = F.coalesce(F.col("_tried") & F.col("status").isin(*WAITING), F.lit(False))
     return rows.select(
         *[(F.when(tried_now, after[c]).otherwise(F.col(c)).cast(deliveries.schema[c].dataType).alias(c)
            if c in after else F.col(c)) for c in deliveries.columns],

@@ -68,11 +68,13 @@ def unauthorized(raw: DataFrame, projects: DataFrame) -> DataFrame:
 
 
 def _with_record_id(raw: DataFrame) -> DataFrame:
-    """Stable id of a raw row: from ``record_id`` if the input has one, else from all its columns."""
+    """Id of a raw row: a hash of its ``record_id``; a row without one gets a new id, whatever it holds."""
     if "_id" in raw.columns:
         return raw
-    identity = ["record_id"] if "record_id" in raw.columns else sorted(raw.columns)
-    return raw.withColumn("_id", stable_id(*[F.col(c) for c in identity]))
+    if "record_id" not in raw.columns:
+        return raw.withColumn("_id", F.expr("uuid()"))
+    given = F.col("record_id")
+    return raw.withColumn("_id", F.when(given.isNotNull(), stable_id(given)).otherwise(F.expr("uuid()")))
 
 
 def _classified(raw: DataFrame, projects: DataFrame) -> DataFrame:
@@ -124,8 +126,8 @@ def parse_logs(raw: DataFrame, as_of: When, strict: bool = False, keep: tuple[st
     the request; every other format keeps the text, with no level and the ingest time. Plain records
     keep the trace ids of the request; ``strict=True`` drops them.
 
-    The id is a hash of ``record_id`` if the input has one, else of all columns (equal records then
-    share an id). ``keep`` names further columns to carry along.
+    The id is a hash of ``record_id``, which the readers fill from the place in the source; records
+    without one get a random id that the write of the result fixes. ``keep`` names further columns to carry along.
     """
     now = instant(as_of)
     is_json = (F.col("format") == "JSON") | (

@@ -22,39 +22,38 @@ def apply_retention(docs: DataFrame, as_of: When, days: int = 7) -> DataFrame:
 
 
 def purge_documents(spark: SparkSession, path: str, as_of: dt.datetime, days: int = 7) -> dict[str, int]:
-    """Apply the retention to a document folder written by ``write_documents``.
+    """Apply the retention to a document folder written by ``write_documents``, while nobody writes to old days.
 
-    Whole ``log_date`` partitions before the cut are dropped without reading them; only those of the
-    boundary day are rewritten, by dynamic overwrite.
+    Whole days before the cut are deleted unread, one folder each. Of the boundary day the fresh rows are
+    written beside the store and then take the day's place; if that is interrupted, the next call ends it.
+    Documents without a timestamp stay.
     """
     cut = as_of - dt.timedelta(days=days)
     boundary = cut.date().isoformat()
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
+    to_path = spark._jvm.org.apache.hadoop.fs.Path
+    root, fresh = to_path(path), to_path(path, f"_fresh-{boundary}")
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def folders() -> list:
-        found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(root, "project_id=*/log_date=*"))
-        return [(s.getPath(), s.getPath().getName().split("=", 1)[1]) for s in found]
-
-    dropped = 0
-    for folder, day in folders():
+    def replace_day(staged) -> None:
+        day = staged.getName().split("-", 1)[1]
+        if fs.exists(to_path(staged, "_SUCCESS")):
+            fs.delete(to_path(root, f"log_date={day}"), True)
+            if fs.exists(to_path(staged, f"log_date={day}")):
+                fs.rename(to_path(staged, f"log_date={day}"), to_path(root, f"log_date={day}"))
+        fs.delete(staged, True)
+
+    for left in fs.globStatus(to_path(root, "_fresh-*")) or []:
+        replace_day(left.getPath())
+    dropped = rewritten = 0
+    for status in fs.globStatus(to_path(root, "log_date=*")) or []:
+        day = status.getPath().getName().split("=", 1)[1]
         if day < boundary:
-            fs.delete(folder, True)
+            fs.delete(status.getPath(), True)
             dropped += 1
-    on_boundary = [folder for folder, day in folders() if day == boundary]
-    rewritten = 0
-    if on_boundary:
-        docs = spark.read.option("basePath", path).parquet(*[f.toString() for f in on_boundary])
-        kept = apply_retention(docs, cut + dt.timedelta(days=days), days)
-        alive = {str(r[0]) for r in kept.select("project_id").distinct().collect()}
-        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-            "project_id", "log_date"
-        ).parquet(path)
-        for folder in on_boundary:
-            if folder.getParent().getName().split("=", 1)[1] in alive:
-                rewritten += 1
-            else:
-                fs.delete(folder, True)
-                dropped += 1
+        elif day == boundary:
+            docs = spark.read.option("basePath", path).parquet(status.getPath().toString())
+            writer = apply_retention(docs, as_of, days).write.mode("overwrite").option("partitionOverwriteMode", "static")
+            writer.partitionBy("log_date", "batch").parquet(fresh.toString())
+            replace_day(fresh)
+            rewritten += 1
     return {"dropped": dropped, "rewritten": rewritten}

@@ -187,6 +187,34 @@ def apply_attempts(spark, d):
     )
 
 
+def _repeated(spark, d):
+    """The outcomes, a second later one of every tried delivery, and one of every delivery that does not wait."""
+    tried = t.table(spark, d, "orders").where("o_orderstatus = 'F' or o_orderpriority <> '5-LOW'")
+    late = tried.select(
+        F.col("o_orderkey").cast("string").alias("delivery_id"), F.lit(500).alias("http_status"),
+        F.lit(None).cast("string").alias("error"), F.lit(1).cast("long").alias("latency_ms"), F.lit("late").alias("body"),
+        F.expr("cast(o_orderdate as timestamp) + make_dt_interval(0, 2, 0, 0)").alias("finished_at"),
+    )
+    return t.outcomes(spark, d).unionByName(late)
+
+
+@query("apply_attempts_repeated", sql(f"""
+    SELECT id, status, attempts, http_status, latency_ms, next_attempt_at, delivered_at, last_error, dead FROM {_APPLIED}""",
+    "deliveries", "outcomes"))
+def apply_attempts_repeated(spark, d):
+    return de.apply_attempts(t.deliveries(spark, d), _repeated(spark, d)).select(
+        "id", "status", "attempts", "http_status", "latency_ms", "next_attempt_at", "delivered_at", "last_error", "dead"
+    )
+
+
+@query("ignored_outcomes", sql("""
+    SELECT CAST(o_orderkey AS VARCHAR) AS delivery_id, CAST(1 AS BIGINT) AS ignored,
+      CASE WHEN o_orderstatus = 'F' THEN 'not waiting' ELSE 'repeated' END AS reason
+    FROM orders WHERE o_orderstatus = 'F' OR o_orderpriority <> '5-LOW'"""))
+def ignored_outcomes(spark, d):
+    return de.ignored_outcomes(t.deliveries(spark, d), _repeated(spark, d))
+
+
 @query("dead_letters", sql(f"""
     SELECT id, subscription_id, event_id, payload, attempts, http_status AS last_http_status, last_error,
       delivered_at AS failed_at, created_at AS original_created_at FROM {_APPLIED} WHERE dead""", "deliveries", "outcomes"))

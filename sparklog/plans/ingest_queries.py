@@ -13,7 +13,9 @@ from sparklog.operators import tenancy
 from sparklog.operators.search import to_log_documents
 from sparklog.plans.oracle import AS_OF, redacted, sql
 from sparklog.plans.registry import query
+from sparklog.session import scratch_dir
 from sparklog.sources import tables as t
+from sparklog.sources.readers import read_raw_logs
 from sparklog.sources.sinks import keyed_logs
 
 RAW_COLUMNS = "record_id, message, service_id, format, level, \"timestamp\", host, api_key, traceparent, project_id, trace_id, span_id, parent_span_id"
@@ -216,7 +218,7 @@ def log_documents(spark, d):
 
 
 @query("write_logs", sql("""
-    SELECT project_id || ':' || service_id AS key, id, level, message, project_id, trace_id FROM logs""", "logs"))
+    SELECT project_id || ':' || service_id AS key, id, level, message, project_id, trace_id, "timestamp" FROM logs""", "logs"))
 def keyed(spark, d):
     rows = keyed_logs(t.logs(spark, d))
 
@@ -226,9 +228,23 @@ def keyed(spark, d):
     return rows.select(
         "key", field("id").alias("id"), field("level").alias("level"), field("message").alias("message"),
         field("projectId").cast("bigint").alias("project_id"), field("traceId").alias("trace_id"),
+        field("timestamp").cast("timestamp").alias("timestamp"),
     )
 
 
+@query("ingest_identity", sql("""
+    SELECT tenant AS project_id, service_id, CAST(count(*) + count(*) FILTER (CAST(substr(record_id, 2) AS BIGINT) % 3 = 0) AS BIGINT) AS documents
+    FROM classified WHERE valid AND tenant IS NOT NULL GROUP BY ALL""", "classified"))
+def ingest_identity(spark, d):
+    """Documents of JSON lines without ids, a third of which were delivered twice: every line is a record of its own."""
+    root = scratch_dir(spark, "identity")
+    raw = t.raw_logs(spark, d)
+    again = raw.where("cast(substr(record_id, 2) as bigint) % 3 = 0")
+    raw.unionByName(again).drop("record_id").write.json(f"{root}/raw")
+    logs, _ = ing.ingest(read_raw_logs(spark, f"{root}/raw"), t.projects(spark, d), t.AS_OF)
+    return to_log_documents(logs).groupBy("project_id", "service_id").agg(F.count(F.lit(1)).alias("documents"))
+
+
 @query("restrict_to_user", sql("""
     SELECT id, project_id FROM logs WHERE project_id IN (
       SELECT p.id FROM projects p JOIN users u ON u.id = p.owner_id WHERE u.email = 'user20@example.com')""",

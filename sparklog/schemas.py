@@ -13,9 +13,10 @@ def table(**columns: str | T.DataType) -> T.StructType:
     return schema
 
 
+# What a sender gives; the readers add ``record_id`` from the place in the source.
 LOG_RAW = table(
-    record_id="string", message="string", service_id="string", format="string", level="string", timestamp="string",
-    host="string", api_key="string", traceparent="string", project_id="long", trace_id="string", span_id="string",
+    message="string", service_id="string", format="string", level="string", timestamp="string", host="string",
+    api_key="string", traceparent="string", project_id="long", trace_id="string", span_id="string",
     parent_span_id="string",
 )
 

@@ -13,8 +13,14 @@ from sparklog.operators.metrics import validate_metric_defs
 def read_raw_logs(
     spark: SparkSession, path: str, fmt: str = "json", api_key: str | None = None, traceparent: str | None = None
 ) -> DataFrame:
-    """Raw records; one key and one trace header for a whole batch override those of its records."""
+    """Raw records; one key and one trace header for a whole batch override those of its records.
+
+    ``record_id`` is the place of a record: its file, the split and the row in the reading task. Equal lines are
+    different records, and the same files read with the same settings give the same ids.
+    """
     raw = spark.read.schema(schemas.LOG_RAW).format(fmt).load(path)
+    place = F.concat_ws(":", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    raw = raw.withColumn("record_id", place)
     if api_key is not None:
         raw = raw.withColumn("api_key", F.lit(api_key))
     if traceparent is not None:
@@ -38,7 +44,10 @@ def load_metric_defs(spark: SparkSession, path: str) -> DataFrame:
 def _stream(spark: SparkSession, source: str | dict[str, str], schema: StructType, fmt: str, **options) -> DataFrame:
     if isinstance(source, dict):  # Kafka options: kafka.bootstrap.servers, subscribe ...
         kafka = spark.readStream.format("kafka").options(**source).load()
-        return kafka.select(F.col("value").cast("string").alias("value"), F.col("timestamp").alias("arrived_at"))
+        return kafka.select(
+            F.concat_ws(":", "topic", "partition", "offset").alias("record_id"),
+            F.col("value").cast("string").alias("value"), F.col("timestamp").alias("arrived_at"),
+        )
     reader = spark.readStream.schema(schema).format(fmt)
     for key, value in options.items():
         reader = reader.option(key, value)

@@ -15,9 +15,10 @@ _CAMEL_LOG = {
 
 
 def keyed_logs(logs: DataFrame) -> DataFrame:
-    """``key`` (project:service) and ``value`` (JSON event), the form of a message topic."""
+    """``key`` (project:service) and ``value`` (JSON event, times to the microsecond), the form of a message topic."""
     fields = [F.col(c).alias(name) for c, name in _CAMEL_LOG.items() if c in logs.columns]
-    return logs.select(F.concat_ws(":", "project_id", "service_id").alias("key"), F.to_json(F.struct(*fields)).alias("value"))
+    return logs.select(F.concat_ws(":", "project_id", "service_id").alias("key"), F.to_json(
+        F.struct(*fields), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("value"))
 
 
 def keyed_anomalies(events: DataFrame) -> DataFrame:
@@ -30,12 +31,16 @@ def write_keyed(keyed: DataFrame, kafka: dict[str, str]) -> None:
     keyed.write.format("kafka").options(**kafka).save()
 
 
-def write_documents(docs: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Parquet by project and day. The rebalance hint splits a hot project over several files."""
-    dated = docs.withColumn("log_date", F.to_date("timestamp"))
-    dated.hint("rebalance", "project_id", "log_date").sortWithinPartitions("project_id", "log_date", "timestamp").write.mode(
-        mode
-    ).option("partitionOverwriteMode", "dynamic").partitionBy("project_id", "log_date").parquet(path)
+def write_documents(docs: DataFrame, path: str, batch: int | str = 0) -> None:
+    """Parquet by day and ``batch``, with the rows of a project side by side in their files.
+
+    A write adds to the folder; the same batch written again replaces only itself. The rebalance hint splits
+    a hot project over several files, and the sort lets a filter on the project skip the others' row groups.
+    """
+    dated = docs.withColumns({"log_date": F.to_date("timestamp"), "batch": F.lit(str(batch))})
+    dated.hint("rebalance", "log_date", "project_id").sortWithinPartitions("log_date", "project_id", "timestamp").write.mode(
+        "overwrite"
+    ).option("partitionOverwriteMode", "dynamic").partitionBy("log_date", "batch").parquet(path)
 
 
 write_logs = write_documents
@@ -59,10 +64,10 @@ def write_version(df: DataFrame, path: str, version: int, *partitions: str) -> N
     writer.partitionBy(*partitions).parquet(f"{path}/version={version}")
 
 
-def has_versions(spark: SparkSession, path: str) -> bool:
+def has_files(spark: SparkSession, path: str, pattern: str) -> bool:
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     found = root.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(
-        spark._jvm.org.apache.hadoop.fs.Path(root, "version=*")
+        spark._jvm.org.apache.hadoop.fs.Path(root, pattern)
     )
     return found is not None and len(found) > 0
 
@@ -72,7 +77,7 @@ def read_versions(
 ) -> DataFrame:
     """All rows with their ``version``, optionally only those of earlier batches."""
     full = StructType([*schema.fields]).add("version", "long")
-    if not has_versions(spark, path):
+    if not has_files(spark, path, "version=*"):
         return spark.createDataFrame([], full)
     rows = spark.read.schema(full).parquet(path)
     return rows if before is None else rows.where(F.col("version") < before)

@@ -14,21 +14,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from sparklog import schemas
 from sparklog.functions.clock import shift, width_seconds
 from sparklog.operators.alerts import normalize_anomalies, route_alerts
-from sparklog.operators.anomaly import error_rate_anomalies, error_rate_windows, recent_anomalies, volume_anomalies_backfill
+from sparklog.operators.anomaly import (
+    error_rate_anomalies, error_rate_windows, recent_anomalies, volume_anomalies, volume_anomalies_backfill,
+)
 from sparklog.operators.delivery import enqueue_deliveries
 from sparklog.operators.ingest import When, ingest_outcomes, is_valid, split_outcomes
+from sparklog.operators.joins import join_dim
 from sparklog.operators.metrics import match_metrics, minute_counts
 from sparklog.operators.search import to_log_documents
-from sparklog.sources.sinks import latest_rows, read_versions, write_version
+from sparklog.sources.sinks import has_files, latest_rows, read_versions, write_documents, write_version
 
 COUNT_KEYS = ["project_id", "service_id", "bucket"]
 METRIC_KEYS = ["project_id", "metric_id", "bucket"]
 WINDOW_KEYS = ["project_id", "service_id", "window_start"]
 TICK = schemas.table(until="timestamp")
+INDEXED = StructType([*schemas.LOG_DOCUMENT.fields]).add("log_date", "date").add("batch", "string")
 
 
 def start(
@@ -111,11 +116,12 @@ def read_metric_counts(spark: SparkSession, path: str) -> DataFrame:
 
 def run_volume_detector(
     logs: DataFrame, counts_path: str, path: str, checkpoint: str, width: str = "1 minute",
-    lookback: str = "24 hours", delay: str = "0 seconds", every: str | None = "1 minute", **rules,
+    lookback: str = "24 hours", delay: str = "25 hours", every: str | None = "1 minute", **rules,
 ) -> StreamingQuery:
     """Store the counters, then judge every bucket completed since the last micro-batch.
 
-    A bucket is complete when a later one has begun. The last judged bucket is kept with the results, so
+    Late records count for ``delay``. A bucket is complete when a later one has begun, and is judged once: what
+    arrives later changes its counters and the baselines of later buckets. The last judged bucket is kept with the results, so
     a micro-batch that is run again judges the same buckets.
     """
     ticks, step = f"{path}-ticks", width_seconds(width)
@@ -142,6 +148,16 @@ def run_volume_detector(
     return start(counts, batch, checkpoint, "update", every)
 
 
+def detect_volume(
+    spark: SparkSession, counts_path: str, as_of: When, width: str = "1 minute", lookback: str = "24 hours", **rules
+) -> DataFrame:
+    """Anomalies of the last complete bucket before ``as_of`` over the stored counters, for a scheduler's clock.
+
+    It needs no input: when all records stop, the silent bucket counts as zero.
+    """
+    return volume_anomalies(read_counts(spark, counts_path), as_of, width, lookback, **rules)
+
+
 def read_volume_anomalies(spark: SparkSession, path: str) -> DataFrame:
     return read_versions(spark, path, schemas.VOLUME_ANOMALY).drop("version")
 
@@ -203,18 +219,23 @@ def read_deliveries(spark: SparkSession, path: str) -> DataFrame:
 
 # --- ingest and index -----------------------------------------------------------------------------------
 
-def run_index(
-    logs: DataFrame, path: str, checkpoint: str, delay: str = "1 hour", every: str | None = None
-) -> StreamingQuery:
-    """Log documents into the partitioned store, each id once within ``delay``.
+def run_index(logs: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Log documents into the store of ``write_documents``, each id of a day once, however late it comes.
 
-    The file sink commits a micro-batch as a whole, so a restart neither loses nor repeats rows.
+    A micro-batch adds the ids that the days it touches do not hold yet; only those days are read. Run again
+    after a failure, it replaces its own rows.
     """
-    docs = to_log_documents(logs, dedup=False).withWatermark("timestamp", delay)
-    unique = docs.dropDuplicatesWithinWatermark(["id"]).withColumn("log_date", F.to_date("timestamp"))
-    writer = unique.writeStream.format("parquet").partitionBy("project_id", "log_date").option("path", path)
-    writer = writer.option("checkpointLocation", checkpoint)
-    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+    def batch(rows: DataFrame, batch_id: int) -> None:
+        spark, name = rows.sparkSession, f"stream-{batch_id}"
+        fresh = to_log_documents(rows)
+        if has_files(spark, path, "log_date=*/batch=*"):
+            stored = spark.read.schema(INDEXED).parquet(path).where(F.col("batch") != name).select("id", "log_date")
+            dated = fresh.withColumn("log_date", F.to_date("timestamp"))
+            touched = join_dim(stored, dated.select("log_date").distinct(), ["log_date"], "left_semi")
+            fresh = dated.join(touched, ["id", "log_date"], "left_anti").drop("log_date")
+        write_documents(fresh, path, name)
+
+    return start(logs, batch, checkpoint, every=every)
 
 
 def run_ingest(
@@ -223,10 +244,14 @@ def run_ingest(
 ) -> StreamingQuery:
     """Raw records to logs and errors: one pass per micro-batch writes both, in its own folder.
 
+    Records without a ``record_id`` get one from their place in the micro-batch.
     The progress of the query reports ``ingest``: the records read and those that are valid.
     """
     def batch(rows: DataFrame, batch_id: int) -> None:
         now = F.current_timestamp() if as_of is None else as_of
+        if "record_id" not in rows.columns:
+            place = F.concat_ws(":", F.lit(path), F.lit(batch_id), F.monotonically_increasing_id())
+            rows = rows.withColumn("record_id", place)
         write_version(ingest_outcomes(rows, load_projects(), now), path, batch_id, "outcome")
 
     counted = raw.observe(

@@ -285,6 +285,21 @@ def test_retry_ladder_and_dead_letters(spark):
     assert len(rows) == deliveries.count()
 
 
+def test_stale_and_repeated_outcomes_change_nothing(spark):
+    rows = [(i, 1, f"e{i}", "{}", status, 1, 200, 1, START, START, None, START, START)
+            for i, status in (("done", "DELIVERED"), ("failed", "FAILED"), ("due", "PENDING"))]
+    deliveries = spark.createDataFrame(rows, schemas.DELIVERIES)
+    outcomes = spark.createDataFrame(
+        [(i, http, None, 1, "b", START + k * MINUTE) for i, http, k in
+         (("done", 500, 1), ("failed", 200, 1), ("due", 500, 2), ("due", 204, 1), ("none", 200, 1), ("due", 204, 1))],
+        schemas.OUTCOMES)
+    got = {r.id: (r.status, r.attempts) for r in de.apply_attempts(deliveries, outcomes).collect()}
+    assert got == {"done": ("DELIVERED", 1), "failed": ("FAILED", 1), "due": ("DELIVERED", 2)}
+    left = {(r.delivery_id, r.ignored, r.reason) for r in de.ignored_outcomes(deliveries, outcomes).collect()}
+    assert left == {("done", 1, "not waiting"), ("failed", 1, "not waiting"), ("due", 2, "repeated"),
+                    ("none", 1, "unknown delivery")}
+
+
 def test_replay(spark):
     rows = [(str(i), s, f"e{i}", "{}", status, 5, 503, 1, START, START, "x", START, START)
             for i, (s, status) in enumerate([(1, "FAILED"), (1, "DELIVERED"), (2, "FAILED")])]

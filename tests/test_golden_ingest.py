@@ -21,8 +21,9 @@ TRACE, SPAN = "4bf92f3577b34da6a3ce929d0e0e4736", "00f067aa0ba902b7"
 
 
 def raw(spark, *rows):
-    base = {f.name: None for f in schemas.LOG_RAW.fields}
-    return spark.createDataFrame([tuple({**base, **row}.values()) for row in rows], schemas.LOG_RAW)
+    schema = f"record_id string, {', '.join(f'{f.name} {f.dataType.simpleString()}' for f in schemas.LOG_RAW.fields)}"
+    base = dict.fromkeys(["record_id", *schemas.LOG_RAW.names])
+    return spark.createDataFrame([tuple({**base, **row}.values()) for row in rows], schema)
 
 
 def column(df, expr):
@@ -181,14 +182,27 @@ def test_ingest_accounts_for_every_row(spark, sf):
 def test_outcomes_fill_both_sinks_in_one_pass(spark, sf, tmp_path):
     from sparklog.sources import tables as t
 
-    rows, projects = t.raw_logs(spark, sf).drop("record_id"), t.projects(spark, sf)
+    rows, projects = t.raw_logs(spark, sf), t.projects(spark, sf)
     sinks.write_outcomes(ing.ingest_outcomes(rows, projects, T), str(tmp_path / "out"))
     stored = spark.read.schema(schemas.INGEST_OUTCOME).parquet(str(tmp_path / "out"))
     logs, errors = ing.split_outcomes(stored)
     assert logs.count() + errors.count() == rows.count() and logs.columns == schemas.LOG_ENTRY.names
     accepted = ing.ingest_status(rows, projects, T).where("status = 'ACCEPTED'").select("id")
     assert accepted.exceptAll(logs.select("id")).isEmpty() and accepted.count() == logs.count()
-    assert errors.where("id = 'unknown'").count() == errors.count()
+    assert ing.ingest_errors(rows.drop("record_id"), projects).where("id <> 'unknown'").isEmpty()
+
+
+def test_equal_records_are_different_records(spark, tmp_path):
+    line = {"message": "up", "service_id": "s", "format": "PLAIN_TEXT", "timestamp": None}
+    (tmp_path / "a.json").write_text((json.dumps(line) + "\n") * 3)
+    (tmp_path / "b.json").write_text(json.dumps(line) + "\n")
+    rows = readers.read_raw_logs(spark, str(tmp_path))
+    assert rows.select("record_id").distinct().count() == 4
+    assert ing.parse_logs(rows, T).select("id").distinct().count() == 4
+    assert sorted(r.id for r in ing.parse_logs(rows, T).collect()) == sorted(r.id for r in ing.parse_logs(rows, T).collect())
+    assert ing.parse_logs(rows.drop("record_id"), T).select("id").distinct().count() == 4
+    nulls = rows.withColumn("record_id", F.lit(None).cast("string"))
+    assert ing.parse_logs(nulls, T).select("id").distinct().count() == 4
 
 
 def test_decode_log_events(spark):
@@ -208,7 +222,7 @@ def test_sources_round_trip(spark, sf, tmp_path):
     path = str(tmp_path / "raw")
     t.raw_logs(spark, sf).write.json(path)
     again = readers.read_raw_logs(spark, path, api_key="key-1")
-    assert again.schema.names == schemas.LOG_RAW.names
+    assert again.schema.names == [*schemas.LOG_RAW.names, "record_id"]
     assert again.where("api_key = 'key-1'").count() == t.raw_logs(spark, sf).count()
 
     projects = str(tmp_path / "projects")
@@ -221,7 +235,7 @@ def test_sources_round_trip(spark, sf, tmp_path):
     keyed = sinks.keyed_logs(t.logs(spark, sf))
     good, bad = ing.decode_log_events(keyed, "value", T)
     same = good.join(t.logs(spark, sf).alias("l"), "id").where(
-        (good.message == F.col("l.message")) & (F.abs(good.timestamp.cast("double") - F.col("l.timestamp").cast("double")) < 0.001)
+        (good.message == F.col("l.message")) & (good.timestamp == F.col("l.timestamp"))
     )
     assert same.count() == t.logs(spark, sf).count() and bad.count() == 0
 

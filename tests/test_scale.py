@@ -81,7 +81,7 @@ def test_filters_and_columns_reach_the_scan(spark, sf, tmp_path):
     sinks.write_documents(search.to_log_documents(t.logs(spark, sf), dedup=False), path)
     docs = spark.read.parquet(path)
     text = plan(search.search_by_service(docs, 2, "svc-1").select("id"))
-    assert "PartitionFilters: [isnotnull(project_id" in text
+    assert "EqualTo(project_id,2)" in text
     assert "EqualTo(service_id,svc-1)" in text and "message" not in text.split("ReadSchema")[1]
 
 
@@ -136,6 +136,22 @@ def test_retention_on_disk(spark, sf, tmp_path):
     assert retention.purge_documents(spark, path, as_of)["dropped"] == 0
 
 
+def test_retention_keeps_fresh_documents_without_a_project(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    rows = [("old", 1, "2024-01-24 13:00:00"), ("a", None, "2024-01-24 14:00:00"), ("b", 1, "2024-01-24 15:00:00"),
+            ("none", None, None)]
+    docs = spark.createDataFrame(rows, "id string, project_id long, timestamp string").withColumn(
+        "timestamp", F.col("timestamp").cast("timestamp"))
+    as_of = dt.datetime(2024, 1, 31, 13, 30)
+    for batch in (1, 2):
+        sinks.write_documents(docs.withColumn("id", F.concat("id", F.lit(batch))), path, batch)
+    assert spark.read.parquet(path).count() == 8
+    assert retention.purge_documents(spark, path, as_of) == {"dropped": 0, "rewritten": 1}
+    left = sorted(r.id for r in spark.read.parquet(path).collect())
+    assert left == ["a1", "a2", "b1", "b2", "none1", "none2"]
+    assert retention.purge_documents(spark, path, as_of + dt.timedelta(days=1)) == {"dropped": 1, "rewritten": 0}
+
+
 def test_document_writes_are_repeatable(spark, sf, tmp_path):
     path = str(tmp_path / "docs")
     docs = search.to_log_documents(t.logs(spark, sf))

@@ -187,6 +187,39 @@ def test_index_keeps_each_id_once(spark, sf, files, tmp_path):
     assert docs.count() == logs.count() == docs.select("id").distinct().count()
 
 
+def _late(spark, tmp_path):
+    """Logs whose second file holds the newest hour and whose third goes back to the first."""
+    folder, start = str(tmp_path / "in"), dt.datetime(2026, 1, 1)
+    schema = schemas.table(id="string", project_id="long", service_id="string", level="string", timestamp="timestamp")
+    for part in (["a0", "b0"], ["c20"], ["d0", "a0"]):
+        rows = [(i, None, "s", "INFO", start + dt.timedelta(hours=int(i[1:]))) for i in part]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        empty = [F.lit(None).cast("string").alias(c) for c in ("message", "trace_id", "span_id", "parent_span_id")]
+        yield spark.readStream.schema(schema).parquet(folder).select("*", *empty)
+
+
+def test_index_keeps_late_rows(spark, tmp_path):
+    for stream in _late(spark, tmp_path):
+        finish(jobs.run_index(stream, str(tmp_path / "out"), str(tmp_path / "cp")), 120)
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a0", "b0", "c20", "d0"]
+
+
+def test_detector_counts_late_rows_and_judges_silence(spark, tmp_path):
+    out, counts, cp = (str(tmp_path / n) for n in ("out", "counts", "cp"))
+    for stream in _late(spark, tmp_path):
+        finish(jobs.run_volume_detector(stream, counts, out, cp, every=None, **HOURLY), 120)
+    totals = sorted(r.total for r in jobs.read_counts(spark, counts).collect())
+    assert totals == [1, 4]
+
+    start, rows = dt.datetime(2026, 1, 1), str(tmp_path / "steady")
+    steady = [(1, "s", start + dt.timedelta(minutes=m), 50 + m % 3, 0, 0) for m in range(60)]
+    from sparklog.sources.sinks import write_version
+
+    write_version(spark.createDataFrame(steady, schemas.MINUTE_COUNTS), rows, 0)
+    found = jobs.detect_volume(spark, rows, start + dt.timedelta(minutes=61)).collect()
+    assert [(r.type, r.current_volume) for r in found] == [("DROP", 0)]
+
+
 def test_ingest_stream_equals_batch(spark, sf, files, tmp_path):
     from sparklog.operators.ingest import ingest
 
