@@ -1,8 +1,9 @@
 """Toxicity by compression distance: how much shorter a window of text becomes with a dictionary of toxic text.
 
-Both zstandard dictionaries hold ordinary text; the toxic one also holds what marks toxic text: words that stand in
+Both zstandard dictionaries hold ordinary text; the toxic one also holds what marks toxic text: words whose stem stands in
 many different contexts of toxic documents and hardly any of ordinary ones (contexts, because copies of one document
-repeat its words, but not in new contexts). The difference of a window's two compressed lengths is its distance; the shares
+repeat its words, but not in new contexts). The ordinary one is padded to the same length, so that matches in the common part
+cost the same with both. The difference of a window's two compressed lengths is its distance; the shares
 of a document's windows over several thresholds are calibrated to a probability on documents that the dictionaries had
 not seen.
 """
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 TOXIC_DOCS, ORDINARY_DOCS, DOC_WINDOWS = 2000, 5000, 128
 WINDOW_BYTES = 64
 ORDINARY_BYTES, MARKER_WORDS = 14_000, 400
-#: A marker has so many times the contexts in toxic text, for its size, and occurs in this share of toxic documents.
+#: A marker's stem (its first LEAST letters or more) has RATIO times the contexts in toxic text, for its size, and so many
+#: contexts at least: LEAST, and SHARE of the number of toxic documents.
 RATIO, SHARE, LEAST = 20, 0.005, 4
 LEVEL = 5
 THRESHOLDS = (2, 3, 4, 5, 6)
@@ -66,6 +68,15 @@ def _contexts(docs: list[list[bytes]]) -> Counter:
     return Counter(word for _, word, _ in seen)
 
 
+def _stems(contexts: Counter) -> Counter:
+    """Of each stem, the contexts of all words that begin with it."""
+    found = Counter()
+    for word, n in contexts.items():
+        for k in range(LEAST, len(word) + 1):
+            found[word[:k]] += n
+    return found
+
+
 def train(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> Dictionaries:
     """The two dictionaries, from documents given as windows."""
     samples = [w for parts in ordinary for w in parts]
@@ -77,10 +88,12 @@ def train(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> Dictionaries
     base = base[-ORDINARY_BYTES:] or b"    "
     ours, theirs = _contexts(toxic), _contexts(ordinary)
     size = max(1, theirs.total()) / max(1, ours.total())
-    markers = [w for w, n in ours.items() if n >= max(LEAST, SHARE * len(toxic)) and len(w) >= LEAST
-               and n * size >= RATIO * (theirs[w] + 0.5)]
+    many, few = _stems(ours), _stems(theirs)
+    marks = {s for s, n in many.items() if n >= max(LEAST, SHARE * len(toxic)) and n * size >= RATIO * (few[s] + 0.5)}
+    markers = [w for w in ours if any(w[:k] in marks for k in range(LEAST, len(w) + 1))]
     markers = sorted(markers, key=lambda w: (ours[w], w))[-MARKER_WORDS:]
-    return Dictionaries(base, base + b" " + b" ".join(markers) + b" ")
+    tail = b" " + b" ".join(markers) + b" "
+    return Dictionaries(base + b"\x00" * len(tail), base + tail)
 
 
 def features(parts: list[bytes], compressors: list[zstandard.ZstdCompressor]) -> np.ndarray:
