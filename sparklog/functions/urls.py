@@ -10,29 +10,37 @@ from sparklog.functions.text import not_blank
 
 _IPV4 = r"\A\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\z"
 _MAPPED = r"\A(?:0*:)*:?ffff:(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})\z"
+_BLOCKED = (
+    r"\A(?:127\.|10\.|192\.168\.|169\.254\.|172\.(?:1[6-9]|2\d|3[01])\.|[0:]*:0*1\z|fe[89ab][0-9a-f]:|f[cd])"
+)
+_NUMBER = r"\A\d{1,10}\z"
+_HEX_MAPPED = r"\A(?:0*:)*:?ffff:([0-9a-f]{1,4}):([0-9a-f]{1,4})\z"
+
+
+def _dotted(number: Column) -> Column:
+    """Four bytes as dotted text, null for a number beyond them."""
+    octets = [(F.shiftright(number, bits) % 256).cast("string") for bits in (24, 16, 8, 0)]
+    return F.when(number.between(0, (1 << 32) - 1), F.concat_ws(".", *octets))
 
 
 def literal_address(host: Column) -> Column:
     """Normal form of a literal IPv4 or bracketed IPv6 host, null for a name."""
     v6 = F.regexp_extract(F.lower(host), r"\A\[([0-9a-f:.]+)", 1)
     mapped = F.regexp_extract(v6, _MAPPED, 1)
-    text = F.when(host.rlike(_IPV4), host).when(mapped != "", mapped).when(v6 != "", v6)
+    high, low = (F.conv(F.regexp_extract(v6, _HEX_MAPPED, i), 16, 10).try_cast("bigint") for i in (1, 2))
+    text = (
+        F.when(host.rlike(_IPV4), host)
+        .when(host.rlike(_NUMBER), _dotted(host.try_cast("bigint")))
+        .when(mapped != "", mapped)
+        .when(v6.rlike(_HEX_MAPPED), _dotted(high * (1 << 16) + low))
+        .when(v6 != "", v6)
+    )
     return F.regexp_replace(text, r"(^|[.:])0+([0-9a-f])", "$1$2")
 
 
 def is_blocked_address(ip: Column) -> Column:
     """Loopback, private, link-local and unique-local ranges."""
-    second = F.regexp_extract(ip, r"\A172\.(\d+)", 1).try_cast("int")
-    return (
-        ip.startswith("127.")
-        | ip.startswith("10.")
-        | ip.startswith("192.168.")
-        | ip.startswith("169.254.")
-        | F.coalesce(second.between(16, 31), F.lit(False))
-        | ip.rlike(r"\A[0:]*:0*1\z")
-        | ip.startswith("fe80:")
-        | ip.rlike(r"\Af[cd]")
-    )
+    return ip.rlike(_BLOCKED)
 
 
 def url_host(url: Column) -> Column:

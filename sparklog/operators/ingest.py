@@ -232,16 +232,17 @@ def ingest_status(raw: DataFrame, projects: DataFrame, as_of: When) -> DataFrame
     )
 
 
-def ingest_stats(logs: DataFrame, errors: DataFrame) -> DataFrame:
-    """Accepted and failed records, and the delay from event to ingest over the accepted ones."""
-    delay = (F.unix_micros("ingestion_timestamp") - F.unix_micros("timestamp")) / 1000
-    accepted = logs.agg(
-        F.count(F.lit(1)).alias("count"), F.sum(delay.cast("bigint")).alias("total_delay_ms"),
-        F.max(delay.cast("bigint")).alias("max_delay_ms"),
-    ).withColumn("metric", F.lit("ingested"))
-    failed = errors.agg(F.count(F.lit(1)).alias("count")).withColumn("metric", F.lit("errors"))
-    return accepted.unionByName(failed, allowMissingColumns=True).select(
-        "metric", "count", "total_delay_ms", "max_delay_ms"
+def ingest_stats(outcomes: DataFrame) -> DataFrame:
+    """Accepted and failed records of an outcome table, and the delay from event to ingest over the accepted ones."""
+    ok = F.col("outcome") == "logs"
+    delay = ((F.unix_micros("ingestion_timestamp") - F.unix_micros("timestamp")) / 1000).cast("bigint")
+    sums = outcomes.agg(
+        F.count_if(ok).alias("logs"), F.count_if(~ok).alias("errors"),
+        F.sum(F.when(ok, delay)).alias("total"), F.max(F.when(ok, delay)).alias("most"),
+    )
+    return sums.selectExpr(
+        "stack(2, 'ingested', logs, total, most, 'errors', errors, null, null) "
+        "as (metric, count, total_delay_ms, max_delay_ms)"
     )
 
 

@@ -10,9 +10,7 @@ from sparklog.functions.clock import bucket_start, bucket_text, instant, shift,
 from sparklog.functions.levels import is_error, is_warning
 from sparklog.functions.text import not_blank
 from sparklog.operators.ingest import When
-from sparklog.operators.joins import join_dim
-
-LITERAL_METRICS = 256
+from sparklog.operators.joins import MAX_ROWS, join_dim
 
 
 # --- counters -------------------------------------------------------------------------------------------
@@ -98,42 +96,26 @@ def _whole(pattern: str) -> str:
     return rf"\A(?:{pattern})\z"
 
 
-def match_metrics(logs: DataFrame, defs: DataFrame, literal_metrics: int = LITERAL_METRICS) -> DataFrame:
+def match_metrics(logs: DataFrame, defs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """Log rows with the id of every valid metric of their project whose regex matches the whole message.
 
-    Few definitions become literal patterns, compiled once per task, in a narrow plan with no join. More
-    of them are joined on the project with the regex as residual condition, so pairs that do not match
-    are never produced.
+    A join on the project with the regex as residual condition, so pairs that do not match are never
+    produced. Definitions and rows without a project match nothing. Up to ``max_rows`` definitions of a
+    measured size are broadcast.
     """
-    ok, _ = validate_metric_defs(defs)
+    ok, _ = validate_metric_defs(defs.where(F.col("project_id").isNotNull()))
     rules = ok.select(
-        F.col("id").alias("metric_id"), F.col("project_id").alias("_metric_project"), "regex_pattern",
+        F.col("id").alias("metric_id"), "project_id", "regex_pattern",
         F.format_string(_whole("%s"), "regex_pattern").alias("_whole"),
         # A pattern such as an unclosed quote compiles alone but not inside the anchored form.
         _compiles(F.format_string(_whole("%s"), "regex_pattern")).alias("_anchors"),
     )
     candidates = logs.where(F.col("project_id").isNotNull() & F.col("message").isNotNull())
-    few = rules.limit(literal_metrics + 1).collect()
-    if len(few) <= literal_metrics and all(r["_anchors"] for r in few):
-        return _match_literals(candidates, few)
-    side = rules.withColumnRenamed("_metric_project", "project_id")
-    pairs = join_dim(candidates, side, ["project_id"], condition=F.expr("not _anchors or message rlike _whole"))
+    pairs = join_dim(candidates, rules, ["project_id"], condition=F.expr("not _anchors or message rlike _whole"), max_rows=max_rows)
     whole = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("matches"), F.col("regex_pattern"), F.col("message"))
     return pairs.where(F.col("_anchors") | (whole == "true")).drop("regex_pattern", "_whole", "_anchors")
 
 
-def _match_literals(logs: DataFrame, rules: list) -> DataFrame:
-    """A row tries the patterns of its own project only."""
-    none = F.array().cast("array<bigint>")
-    hits = F.when(F.lit(False), none)
-    for project in sorted({r["_metric_project"] for r in rules}):
-        mine = sorted((r for r in rules if r["_metric_project"] == project), key=lambda r: r["metric_id"])
-        tries = [F.when(F.col("message").rlike(r["_whole"]), F.lit(r["metric_id"]).cast("bigint")) for r in mine]
-        hits = hits.when(F.col("project_id") == project, F.array(*tries))
-    ids = F.filter(hits.otherwise(none), lambda hit: hit.isNotNull())
-    return logs.withColumn("metric_id", F.explode(ids))
-
-
 def metric_counts(logs: DataFrame, defs: DataFrame, width: str = "1 minute") -> DataFrame:
     """Matches per (project, metric, bucket)."""
     return (

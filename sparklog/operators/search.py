@@ -87,10 +87,18 @@ def anomalies_as_logs(volume: DataFrame) -> DataFrame:
     )
 
 
-def console_feed(docs: DataFrame, volume: DataFrame, order: bool = True) -> DataFrame:
-    """Log documents and anomaly rows, newest first, rows without a time last."""
+def console_feed(
+    docs: DataFrame, volume: DataFrame, order: bool = True, project_id: int | None = None, limit: int | None = None,
+) -> DataFrame:
+    """Log documents and anomaly rows, newest first, rows without a time last.
+
+    A project is filtered below the union; a limit becomes a top-k per task, without a full sort.
+    """
+    if project_id is not None:
+        docs, volume = _in_project(docs, project_id), _in_project(volume, project_id)
     feed = docs.select(*DOCUMENT_COLUMNS).unionByName(anomalies_as_logs(volume), allowMissingColumns=True)
-    return feed.orderBy(F.col("timestamp").desc_nulls_last(), "id") if order else feed
+    rows = feed.orderBy(F.col("timestamp").desc_nulls_last(), "id") if order else feed
+    return rows if limit is None else rows.limit(limit)
 
 
 def console_filter(feed: DataFrame, query: str = "", service: str = "ALL", level: str = "ALL") -> DataFrame:

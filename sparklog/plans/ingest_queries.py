@@ -118,7 +118,7 @@ def ingest_status(spark, d):
     FROM (SELECT CAST(trunc((epoch_us({AS_OF}) - epoch_us("timestamp")) / 1000) AS BIGINT) AS ms FROM entries WHERE tenant IS NOT NULL)
     UNION ALL SELECT 'errors', count(*), NULL, NULL FROM classified WHERE NOT valid OR tenant IS NULL""", "entries"))
 def ingest_stats(spark, d):
-    return ing.ingest_stats(*ing.ingest(t.raw_logs(spark, d), t.projects(spark, d), t.AS_OF))
+    return ing.ingest_stats(ing.ingest_outcomes(t.raw_logs(spark, d), t.projects(spark, d), t.AS_OF))
 
 
 @query("resolve_tenant", sql("SELECT record_id, tenant AS project_id FROM classified WHERE tenant IS NOT NULL", "classified"))

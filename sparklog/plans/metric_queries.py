@@ -79,8 +79,8 @@ def matches(spark, d):
 
 @query("match_metrics_join", sql(f"SELECT id, project_id, metric_id FROM {_MATCHES}", "logs", "metric_defs"))
 def matches_join(spark, d):
-    """The plan for many definitions."""
-    rows = met.match_metrics(t.logs(spark, d), t.custom_metrics(spark, d), literal_metrics=0)
+    """The plan for more definitions than a broadcast may hold."""
+    rows = met.match_metrics(t.logs(spark, d), t.custom_metrics(spark, d), max_rows=0)
     return rows.select("id", "project_id", "metric_id")
 
 

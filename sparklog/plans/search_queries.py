@@ -90,6 +90,16 @@ def feed(spark, d):
     return se.console_feed(docs(spark, d), volume_anomalies(spark, d)).select(*FEED_COLUMNS)
 
 
+@query("console_feed_project", sql(f"""
+    SELECT *, row_number() OVER (ORDER BY "timestamp" DESC NULLS LAST, id) AS place FROM (
+      SELECT * FROM {FEED} WHERE project_id = 3 ORDER BY "timestamp" DESC NULLS LAST, id LIMIT 200)""", "logs", "vol_anoms"))
+def project_feed(spark, d):
+    """The first page of one project, with the place of each row as the feed orders it."""
+    rows = se.console_feed(docs(spark, d), volume_anomalies(spark, d), project_id=3, limit=200)
+    places = rows.agg(F.collect_list(F.struct(*FEED_COLUMNS)).alias("rows")).select(F.posexplode("rows"))
+    return places.select("col.*", (F.col("pos") + 1).cast("bigint").alias("place"))
+
+
 @query("console_filter", sql(f"""
     SELECT * FROM {FEED} WHERE (contains(lower(message), 'volume') OR contains(lower(service_id), 'volume'))
       AND service_id = 'svc-2' AND level = 'ANOMALY'""", "logs", "vol_anoms"))

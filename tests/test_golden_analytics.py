@@ -121,10 +121,10 @@ def test_metric_definitions(spark):
     ], "log_id string, project_id long, message string")
     plain = {("l1", 1), ("l1", 6), ("l3", 1), ("l3", 5), ("l3", 6), ("l4", 7)}
     assert {(r.log_id, r.metric_id) for r in met.match_metrics(logs, defs).collect()} == plain
-    simple = defs.where("id in (1, 7)")
+    homeless = spark.createDataFrame([(8, None, "no project", ".*")], defs.schema)
     for cap in (0, 64):
-        got = {(r.log_id, r.metric_id) for r in met.match_metrics(logs, simple, literal_metrics=cap).collect()}
-        assert got == {("l1", 1), ("l3", 1), ("l4", 7)}
+        got = met.match_metrics(logs, defs.unionByName(homeless), max_rows=cap).collect()
+        assert {(r.log_id, r.metric_id) for r in got} == plain and len(got) == len(plain)
 
 
 def test_metric_series_has_no_gaps(spark):
@@ -191,6 +191,9 @@ def test_feed_order_and_filter(spark):
     feed = se.console_feed(rows, volume)
     assert [r.id for r in feed.collect()] == ["c", "a", "b"]
     assert sorted(r.id for r in se.console_filter(feed, "SVC").collect()) == ["a", "b"]
+    both = rows.withColumn("project_id", F.expr("case when id = 'a' then 9 else project_id end"))
+    assert [r.id for r in se.console_feed(both, volume, project_id=9).collect()] == ["a"]
+    assert [r.id for r in se.console_feed(rows, volume, limit=2).collect()] == ["c", "a"]
     assert sorted(r.service_id for r in se.feed_services(feed).collect()) == ["ALL", "svc"]
 
 
@@ -204,6 +207,9 @@ URLS = {
     "http://172.16.0.1/": "Resolved", "http://172.31.0.1/": "Resolved", "http://192.168.1.5/": "Resolved",
     "http://169.254.169.254/": "Resolved", "http://[::1]/": "Resolved", "http://[0:0:0:0:0:0:0:1]/": "Resolved",
     "http://[fe80::1]/": "Resolved", "http://[fd00::1]/": "Resolved", "http://[::ffff:10.0.0.1]/": "Resolved",
+    "http://2130706433/": "Resolved", "http://[::ffff:7f00:1]/": "Resolved", "http://127.1/": "URL must",
+    "http://10.1.515/": "URL must", "http://[fe90::1]/": "Resolved", "http://[febf::1]/": "Resolved",
+    "http://[fec0::1]/": None, "http://[::ffff:808:808]/": None, "http://134744072/": None, "http://4294967296/": None,
 }
 
 
