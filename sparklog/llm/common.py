@@ -43,13 +43,14 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def join_counted(facts: DataFrame, keyed: DataFrame, key: str, count: str, total: int) -> DataFrame:
+def join_counted(facts: DataFrame, keyed: DataFrame, key: str, count: str, total: int,
+                 share: float = HOT_SHARE) -> DataFrame:
     """Inner join of many ``facts`` with one ``keyed`` row per key, of which ``count`` tells the key's number of facts.
 
-    Keys with HOT_SHARE of the ``total`` facts or more are at most 1 / HOT_SHARE rows, so they are broadcast and their
+    Keys with ``share`` of the ``total`` facts or more are at most 1 / share rows, so they are broadcast and their
     facts stay where they are; all the others are joined by a shuffle in which no key is large.
     """
-    least = max(2, int(total * HOT_SHARE))
+    least = max(2, int(total * share))
     hot = F.broadcast(keyed.filter(F.col(count) >= least))
     cold = keyed.filter(F.col(count) < least)
     spared = facts.join(hot.select(key), key, "left_anti")

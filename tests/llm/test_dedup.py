@@ -179,3 +179,23 @@ def test_short_repeats_stay(spark):
                                  "doc_id long, text string, lang string, source string, n_chars long")
     assert line_dedup.repeated_spans(docs).count() == 0
     assert line_dedup.repeated_spans(docs, 4).count() == 49
+
+
+def test_passage_that_begins_inside_a_line_or_has_a_changed_word(spark):
+    """Clauses are the unit: neighbours in the line and one changed word do not keep a repeated passage."""
+    sentence = "They walked the long road to the {} market, bought seven sacks of grain, and came home before dark."
+    passage = " ".join(sentence.format(w) for w in ("old", "new", "fish", "wool"))
+    assert len(passage.split()) == 76
+    changed = passage.replace("fish", "salt")
+    texts = [passage, f"Own opening here. {passage} Own ending there.\nLast line.", f"{changed}\nSome tail.", f"Head one: {passage}\nTail."]
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    spans = {r.doc_id: [] for r in line_dedup.repeated_spans(docs).collect()}
+    for r in line_dedup.repeated_spans(docs).orderBy("start").collect():
+        spans[r.doc_id].append(texts[r.doc_id][r.start:r.end])
+        assert r.kept_doc_id == 0 and r.lines == 1
+    first, rest = changed.split(" They walked the long road to the salt market, ")
+    assert spans == {1: [passage], 2: [first, rest], 3: [passage]}
+    left = {r.doc_id: r.text for r in line_dedup.deduplicate(docs).collect()}
+    assert left == {0: passage, 1: "Own opening here. Own ending there.\nLast line.",
+                    2: "They walked the long road to the salt market, \nSome tail.", 3: "Head one: \nTail."}
