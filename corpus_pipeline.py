@@ -9,8 +9,8 @@ from sparklog.llm.common import stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the latest quality policy."""
-    return quality_ledger.apply_policy(docs)
+    """Documents that pass the quality policy that weighs repeated lines by their characters."""
+    return quality_ledger.apply_policy(docs, "v3")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,13 +20,15 @@ RULES = {
     "duplicate_lines": 4,
     "capitals": 5,
     "few_letters": 6,
+    "duplicate_text": 7,
 }
 BASE = ("few_words", "repeated_words")
 #: Rules that reject a document, by version. Later versions are added, none is changed.
 POLICIES = {
     "base": BASE,
     "v1": (*BASE, "symbols", "duplicate_lines", "few_letters"),
-    "v2": tuple(RULES),
+    "v2": (*BASE, "word_length", "symbols", "duplicate_lines", "capitals", "few_letters"),
+    "v3": (*BASE, "word_length", "symbols", "duplicate_text", "capitals", "few_letters"),
 }
 LATEST = "v2"
 
@@ -59,8 +61,8 @@ def _repeat_words(words: Column) -> Column:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """``docs`` with its measurements: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words,
-    n_letters, n_capitals.
+    """``docs`` with its measurements: n_words, word_chars, n_symbols, n_lines, n_dup_lines, line_chars,
+    dup_line_chars (of lines that stand before), n_repeat_words, n_letters, n_capitals.
 
     Null and empty texts measure zero. Rows are independent, so repeated rows give repeated results. Columns of
     ``docs`` with these names are replaced.
@@ -73,14 +75,20 @@ def measure(docs: DataFrame) -> DataFrame:
         F.length(F.array_join(ws, "")).cast("long").alias("word_chars"),
         _repeat_words(ws).alias("n_repeat_words"),
     ))
-    by_line = let(lines, lambda ls: F.struct(
+
+    def chars(ls: Column) -> Column:
+        return F.length(F.array_join(ls, "")).cast("long")
+
+    by_line = let(lines, lambda ls: let(F.array_distinct(ls), lambda own: F.struct(
         F.size(ls).cast("long").alias("n_lines"),
-        (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
-    ))
+        (F.size(ls) - F.size(own)).cast("long").alias("n_dup_lines"),
+        chars(ls).alias("line_chars"),
+        (chars(ls) - chars(own)).alias("dup_line_chars"),
+    )))
     found = docs.withColumns({"_counts": counts, "_lines": by_line})
     return found.withColumns({
         **{name: F.col(f"_counts.{name}") for name in ("n_words", "word_chars", "n_repeat_words")},
-        **{name: F.col(f"_lines.{name}") for name in ("n_lines", "n_dup_lines")},
+        **{name: F.col(f"_lines.{name}") for name in ("n_lines", "n_dup_lines", "line_chars", "dup_line_chars")},
         "n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"),
         "n_letters": F.regexp_count(text, F.lit(r"\p{L}")).cast("long"),
         "n_capitals": F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long"),
@@ -98,6 +106,7 @@ def failures() -> dict[str, Column]:
         "duplicate_lines": 100 * c("n_dup_lines") > 30 * c("n_lines"),
         "capitals": 2 * c("n_capitals") > c("n_letters"),
         "few_letters": 2 * c("n_letters") < c("word_chars"),
+        "duplicate_text": 100 * c("dup_line_chars") > 30 * c("line_chars"),
     }
 
 

@@ -71,7 +71,8 @@ def op8_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_ledger.ledger(table(spark, sf_dir, "documents"))
     return found.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        (~quality_ledger.passes("base")).alias("base_failed"), quality_ledger.passes().alias("kept"), "failed")
+        (~quality_ledger.passes("base")).alias("base_failed"), quality_ledger.passes("v2").alias("kept"),
+        F.col("failed").bitwiseAND(F.lit(quality_ledger.mask("v2"))).alias("failed"))  # as in the check SQL
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +55,20 @@ def test_policies_and_ablation(docs, empty):
     assert {r.n_failed for r in quality_ledger.ablation(quality_ledger.ledger(empty)).collect()} == {0}
 
 
+def test_equal_first_and_last_line_of_a_long_document(spark):
+    """Repeated lines weigh by their characters, not by their number; policy v2 stays as it was."""
+    body = " ".join(f"wor{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(150))
+    texts = {1: f"Top and bottom\n{body}\nTop and bottom", 2: f"{body[:400]}\n{body[:400]}\nTop", 3: "a\n" * 3, 4: ""}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r.doc_id: r for r in quality_ledger.ledger(docs).collect()}
+    assert (found[1].line_chars, found[1].dup_line_chars) == (len(body) + 28, 14)
+    bit = 1 << quality_ledger.RULES["duplicate_text"]
+    assert {i for i, r in found.items() if r.failed & bit} == {2, 3}
+    assert [r.doc_id for r in quality_ledger.apply_policy(docs, "v3").collect()] == [1]
+    assert quality_ledger.apply_policy(docs, "v2").count() == 0
+    assert [r.doc_id for r in corpus_pipeline.quality(spark, docs, "").collect()] == [1]
+
+
 def plain_mix(rows):
     order = sorted({r[3] for r in rows}, key=lambda s: (s is None, (s or "").encode()))
     size = {s: sum(len(WORD.findall(r[1] or "")) for r in rows if r[3] == s) for s in order}
