@@ -29,8 +29,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents packed into sequences."""
-    return packing.pack(docs, queries.token_file())
+    """Pieces of the documents packed into sequences, with their token ids."""
+    return packing.pack(docs, queries.token_file(), with_ids=True)
 
 
 STAGES = [

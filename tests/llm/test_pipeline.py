@@ -95,3 +95,10 @@ def test_stages_keep_the_columns(spark, empty):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, "")
         assert docs.columns == empty.columns
+
+
+def test_sequences_hold_their_token_ids(spark):
+    docs = spark.createDataFrame([(1, "some words to pack", "en", "a", 18)], SCHEMA)
+    ids = Tokenizer.from_file(token_file()).encode("some words to pack", add_special_tokens=False).ids
+    found = sorted(corpus_pipeline.sequences(spark, docs, "").collect(), key=lambda r: r.start)
+    assert [i for r in found for i in r.ids] == [*ids, 1]
