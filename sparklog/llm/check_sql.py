@@ -51,4 +51,27 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 FROM x
 """
 
-SQL = {"op2_warc": WARC, "op4_fair_mix": MIX, "op8_quality_ledger": LEDGER}
+AUDIT = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+o AS (SELECT rid, lang, source, unnest(ts) AS term FROM d),
+k AS (SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT rid) >= 30),
+v AS (SELECT lang, count(*)::HUGEINT AS v FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM o JOIN k USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT DISTINCT lang, source FROM d),
+a AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN k USING (lang)
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (SELECT lang, source, term, n, 1 + (1000000000 * (n + 5)) // ((sum(n) OVER (PARTITION BY lang, source))::HUGEINT + 5 * v) AS p
+  FROM a JOIN v USING (lang)),
+q AS (SELECT lang, term, 1 + (1000000000 * (m + 5)) // ((sum(m) OVER (PARTITION BY lang))::HUGEINT + 5 * v) AS q
+  FROM (SELECT lang, term, sum(n)::HUGEINT AS m FROM a GROUP BY lang, term) JOIN v USING (lang)),
+s AS (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y USING (lang, term)
+  WHERE x.source <> y.source GROUP BY x.lang, x.source, y.source),
+r AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM g x JOIN g y USING (lang)
+    LEFT JOIN s ON s.lang = x.lang AND s.source = x.source AND s.item = y.source WHERE x.source <> y.source
+  UNION ALL SELECT p.lang, p.source, 'term', p.term, (p.p - q.q)::BIGINT FROM p JOIN q USING (lang, term) WHERE n > 0 AND p.p > q.q)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM r
+QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 50
+"""
+
+SQL = {"op2_warc": WARC, "op4_fair_mix": MIX, "op8_quality_ledger": LEDGER, "op13_source_audit": AUDIT}

@@ -12,8 +12,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparklog.llm import fair_mix, iblt, jump_shards, langid, line_dedup, packing, quality_ledger, simhash, toxicity, warc
-
+from sparklog.llm import (
+    fair_mix, iblt, jump_shards, langid, line_dedup, packing, quality_ledger, secret_scan, simhash, source_audit, toxicity,
+    turn_repair, warc,
+)
 from sparklog.llm.check_sql import SQL
 
 
@@ -83,6 +85,18 @@ def op10_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iblt.versions(table(spark, sf_dir, "documents"))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair(turn_repair.damage(table(spark, sf_dir, "conversations")))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.divergences(table(spark, sf_dir, "documents"))
+
+
 def _shipped(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @functools.wraps(fn)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +107,7 @@ def _shipped(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     fns = (op1_simhash, op2_warc, op3_toxicity, op4_fair_mix, op5_langid, op6_packing, op7_jump_shards, op8_quality_ledger,
-           op9_line_dedup, op10_iblt)
+           op9_line_dedup, op10_iblt, op11_turn_repair, op12_secret_scan, op13_source_audit)
     return {fn.__name__: _shipped(fn) for fn in fns}
 
 
