@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparklog.functions.clock import instant, shift, width_seconds
 from sparklog.operators.ingest import When
+from sparklog.sources.sinks import documents_store
 
 
 def expire(df: DataFrame, ts_col: str, as_of: When, keep: str) -> DataFrame:
@@ -22,38 +23,14 @@ def apply_retention(docs: DataFrame, as_of: When, days: int = 7) -> DataFrame:
 
 
 def purge_documents(spark: SparkSession, path: str, as_of: dt.datetime, days: int = 7) -> dict[str, int]:
-    """Apply the retention to a document folder written by ``write_documents``, while nobody writes to old days.
+    """Apply the retention to a document store written by ``write_documents``, while nobody else writes to it.
 
-    Whole days before the cut are deleted unread, one folder each. Of the boundary day the fresh rows are
-    written beside the store and then take the day's place; if that is interrupted, the next call ends it.
-    Documents without a timestamp stay.
+    Whole days before the cut go unread. Of the boundary day the fresh rows are written as a new run, which takes the old ones'
+    place in one step, the next manifest; a purge that stops anywhere leaves every fresh row in the store. Documents
+    without a timestamp stay.
     """
     cut = as_of - dt.timedelta(days=days)
-    boundary = cut.date().isoformat()
-    to_path = spark._jvm.org.apache.hadoop.fs.Path
-    root, fresh = to_path(path), to_path(path, f"_fresh-{boundary}")
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def replace_day(staged) -> None:
-        day = staged.getName().split("-", 1)[1]
-        if fs.exists(to_path(staged, "_SUCCESS")):
-            fs.delete(to_path(root, f"log_date={day}"), True)
-            if fs.exists(to_path(staged, f"log_date={day}")):
-                fs.rename(to_path(staged, f"log_date={day}"), to_path(root, f"log_date={day}"))
-        fs.delete(staged, True)
-
-    for left in fs.globStatus(to_path(root, "_fresh-*")) or []:
-        replace_day(left.getPath())
-    dropped = rewritten = 0
-    for status in fs.globStatus(to_path(root, "log_date=*")) or []:
-        day = status.getPath().getName().split("=", 1)[1]
-        if day < boundary:
-            fs.delete(status.getPath(), True)
-            dropped += 1
-        elif day == boundary:
-            docs = spark.read.option("basePath", path).parquet(status.getPath().toString())
-            writer = apply_retention(docs, as_of, days).write.mode("overwrite").option("partitionOverwriteMode", "static")
-            writer.partitionBy("log_date", "batch").parquet(fresh.toString())
-            replace_day(fresh)
-            rewritten += 1
-    return {"dropped": dropped, "rewritten": rewritten}
+    store = documents_store(spark, path)
+    dropped = store.expire(cut.date())
+    rewritten = store.rewrite(cut.date(), F.col("timestamp") >= instant(cut), order=["project_id", "timestamp"])
+    return {"dropped": dropped, "rewritten": int(rewritten)}

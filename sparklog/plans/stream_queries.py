@@ -20,6 +20,7 @@ from sparklog.plans.registry import query
 from sparklog.session import scratch_dir
 from sparklog.sources import tables as t
 from sparklog.sources.readers import stream_anomalies, stream_logs
+from sparklog.sources.sinks import read_documents
 from sparklog.streaming import jobs
 
 EVENTS = schemas.table(
@@ -123,7 +124,7 @@ def stream_index(spark, d):
     t.table(spark, d, "events").repartition(4, F.hash("event_id")).write.parquet(f"{root}/in")
     events = stream_logs(spark, f"{root}/in", EVENTS, maxFilesPerTrigger=1)
     finish(jobs.run_index(t.logs_of(events), f"{root}/out", f"{root}/cp"))
-    return spark.read.parquet(f"{root}/out").select(
+    return read_documents(spark, f"{root}/out").select(
         "id", "service_id", "level", F.col("project_id").cast("bigint").alias("project_id"), "message", "timestamp",
         "trace_id", "span_id",
     )

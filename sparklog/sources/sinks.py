@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from sparklog import schemas
+from sparklog.sources.store import Store
+
 _CAMEL_LOG = {
     "id": "id", "timestamp": "timestamp", "service_id": "serviceId", "level": "level", "message": "message",
     "host": "host", "metadata": "metadata", "tags": "tags", "raw_log": "rawLog",
@@ -31,16 +34,23 @@ def write_keyed(keyed: DataFrame, kafka: dict[str, str]) -> None:
     keyed.write.format("kafka").options(**kafka).save()
 
 
-def write_documents(docs: DataFrame, path: str, batch: int | str = 0) -> None:
-    """Parquet by day and ``batch``, with the rows of a project side by side in their files.
+def documents_store(spark: SparkSession, path: str, schema: StructType = schemas.LOG_DOCUMENT) -> Store:
+    """The store of :func:`write_documents`; once written, it has the schema of its first commit."""
+    return Store(spark, path, schema, "timestamp").with_own_schema()
+
+
+def write_documents(docs: DataFrame, path: str, batch: int | str) -> None:
+    """Adds the documents of a batch to the store, by day; the same batch written again replaces all that it had.
 
-    A write adds to the folder; the same batch written again replaces only itself. The rebalance hint splits
-    a hot project over several files, and the sort lets a filter on the project skip the others' row groups.
+    The rows of a project lie side by side: the rebalance hint splits a hot project over several files, and the sort lets a
+    filter on the project skip the others' row groups. Files carry Bloom filters of ids and trace ids.
     """
-    dated = docs.withColumns({"log_date": F.to_date("timestamp"), "batch": F.lit(str(batch))})
-    dated.hint("rebalance", "log_date", "project_id").sortWithinPartitions("log_date", "project_id", "timestamp").write.mode(
-        "overwrite"
-    ).option("partitionOverwriteMode", "dynamic").partitionBy("log_date", "batch").parquet(path)
+    documents_store(docs.sparkSession, path, docs.schema).commit(docs, batch, order=["project_id", "timestamp"])
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """The documents in force, with their ``log_date``."""
+    return documents_store(spark, path).versions().drop("version", "batch")
 
 
 write_logs = write_documents
@@ -82,9 +92,3 @@ def read_versions(
     rows = spark.read.schema(full).parquet(path)
     return rows if before is None else rows.where(F.col("version") < before)
 
-
-def latest_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The newest version of every key."""
-    values = [c for c in rows.columns if c not in (*keys, "version")]
-    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "version").alias("_row"))
-    return newest.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in values])

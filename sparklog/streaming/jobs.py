@@ -1,39 +1,37 @@
 """The streaming jobs.
 
-Aggregates run in update mode and are kept as one folder per micro-batch (see ``write_version``): the
-newest version of a key is its current value, nothing is incremented in place, and a micro-batch that is
-run again after a failure replaces its own folder. ``delay`` is the watermark; with "0 seconds" a record
-whose window closed in an earlier micro-batch is dropped, which equals a window without grace when the
+Results are kept in stores (see ``sources.store``): a micro-batch commits its rows once, and one that is run again after a failure is
+passed over. Aggregates run in update mode, and the newest committed row of a key is its current value. ``keep`` expires the
+days of a store that are older than that, counted from the newest row, and frees their files. ``delay`` is the watermark; with
+"0 seconds" a record whose window closed in an earlier micro-batch is dropped, which equals a window without grace when the
 input is in time order.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
 
 from sparklog import schemas
-from sparklog.functions.clock import shift, width_seconds
+from sparklog.functions.clock import instant, width_seconds
 from sparklog.operators.alerts import normalize_anomalies, route_alerts
 from sparklog.operators.anomaly import (
     error_rate_anomalies, error_rate_windows, recent_anomalies, volume_anomalies, volume_anomalies_backfill,
 )
 from sparklog.operators.delivery import enqueue_deliveries
 from sparklog.operators.ingest import When, ingest_outcomes, is_valid, split_outcomes
-from sparklog.operators.joins import join_dim
 from sparklog.operators.metrics import match_metrics, minute_counts
 from sparklog.operators.search import to_log_documents
-from sparklog.sources.sinks import has_files, latest_rows, read_versions, write_documents, write_version
+from sparklog.sources.sinks import documents_store, read_versions, write_version
+from sparklog.sources.store import Store
 
 COUNT_KEYS = ["project_id", "service_id", "bucket"]
 METRIC_KEYS = ["project_id", "metric_id", "bucket"]
 WINDOW_KEYS = ["project_id", "service_id", "window_start"]
-TICK = schemas.table(until="timestamp")
-INDEXED = StructType([*schemas.LOG_DOCUMENT.fields]).add("log_date", "date").add("batch", "string")
 
 
 def start(
@@ -46,12 +44,41 @@ def start(
     return writer.start()
 
 
-def _versions(path: str) -> Callable[[DataFrame, int], None]:
-    return lambda rows, batch_id: write_version(rows, path, batch_id)
+def _newest(rows: DataFrame, col: str) -> dt.datetime | None:
+    """The latest instant of a column, in UTC without a zone."""
+    micros = rows.agg(F.max(F.unix_micros(col))).first()[0]
+    return None if micros is None else dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=micros)
+
+
+def _expire(store: Store, rows: DataFrame, keep: str | None) -> None:
+    """Takes the days out of the store that are older than ``keep`` before the newest of ``rows``."""
+    newest = _newest(rows, store.ts_col) if keep else None
+    if newest is not None:
+        store.expire((newest - dt.timedelta(seconds=width_seconds(keep))).date())
 
 
 # --- windows and counters -------------------------------------------------------------------------------
 
+def windows_store(spark: SparkSession, path: str) -> Store:
+    return Store(spark, path, schemas.ERROR_RATE_WINDOWS, "window_start", WINDOW_KEYS, "latest")
+
+
+def counts_store(spark: SparkSession, path: str) -> Store:
+    return Store(spark, path, schemas.MINUTE_COUNTS, "bucket", COUNT_KEYS, "latest")
+
+
+def metric_store(spark: SparkSession, path: str) -> Store:
+    return Store(spark, path, schemas.METRIC_COUNTS, "bucket", METRIC_KEYS, "sum")
+
+
+def anomalies_store(spark: SparkSession, path: str) -> Store:
+    return Store(spark, path, schemas.VOLUME_ANOMALY, "timestamp")
+
+
+def deliveries_store(spark: SparkSession, path: str) -> Store:
+    return Store(spark, path, schemas.DELIVERIES, "created_at")
+
+
 def stream_error_rate(logs: DataFrame, width: str = "1 minute", delay: str = "0 seconds") -> DataFrame:
     """Streaming error-rate windows: update mode for a row per change, append mode for closed windows."""
     return error_rate_windows(logs.withWatermark("timestamp", delay), width)
@@ -59,90 +86,115 @@ def stream_error_rate(logs: DataFrame, width: str = "1 minute", delay: str = "0
 
 def run_error_rate(
     logs: DataFrame, path: str, checkpoint: str, width: str = "1 minute", delay: str = "0 seconds",
-    every: str | None = None,
+    every: str | None = None, keep: str | None = None,
 ) -> StreamingQuery:
-    return start(stream_error_rate(logs, width, delay), _versions(path), checkpoint, "update", every)
+    """Current windows in ``path``, and every change of a window in ``path-updates``."""
+    def batch(rows: DataFrame, batch_id: int) -> None:
+        rows.persist()
+        try:
+            store = windows_store(rows.sparkSession, path)
+            updates = Store(rows.sparkSession, f"{path}-updates", store.schema, store.ts_col)
+            for one in (updates, store):
+                one.commit(rows, batch_id, app=checkpoint)
+                _expire(one, rows, keep)
+        finally:
+            rows.unpersist()
+
+    return start(stream_error_rate(logs, width, delay), batch, checkpoint, "update", every)
 
 
 def error_rate_state(spark: SparkSession, path: str) -> DataFrame:
     """Current windows of :func:`run_error_rate`."""
-    return latest_rows(read_versions(spark, path, schemas.ERROR_RATE_WINDOWS), WINDOW_KEYS)
+    return windows_store(spark, path).read()
 
 
 def error_rate_updates(spark: SparkSession, path: str, **thresholds) -> DataFrame:
     """Anomalies of every published change of a window: one window may appear several times."""
-    return error_rate_anomalies(read_versions(spark, path, schemas.ERROR_RATE_WINDOWS), **thresholds)
+    updates = Store(spark, f"{path}-updates", schemas.ERROR_RATE_WINDOWS, "window_start")
+    return error_rate_anomalies(updates.read(), **thresholds)
 
 
 def run_minute_counts(
     logs: DataFrame, path: str, checkpoint: str, width: str = "1 minute", delay: str = "25 hours",
-    every: str | None = None,
+    every: str | None = None, keep: str | None = None,
 ) -> StreamingQuery:
     """Counter store: late records count for ``delay``, then the state of a bucket is let go."""
-    counts = minute_counts(logs.withWatermark("timestamp", delay), width)
-    return start(counts, _versions(path), checkpoint, "update", every)
+    def batch(rows: DataFrame, batch_id: int) -> None:
+        rows.persist()
+        try:
+            store = counts_store(rows.sparkSession, path)
+            store.commit(rows, batch_id, app=checkpoint)
+            _expire(store, rows, keep)
+        finally:
+            rows.unpersist()
+
+    return start(minute_counts(logs.withWatermark("timestamp", delay), width), batch, checkpoint, "update", every)
 
 
-def read_counts(spark: SparkSession, path: str) -> DataFrame:
-    """Current counters of :func:`run_minute_counts`."""
-    return latest_rows(read_versions(spark, path, schemas.MINUTE_COUNTS), COUNT_KEYS)
+def read_counts(spark: SparkSession, path: str, since: dt.date | None = None) -> DataFrame:
+    """Current counters of :func:`run_minute_counts`, optionally only those from a day on."""
+    return counts_store(spark, path).read(since=since)
 
 
 def run_metric_counts(
     logs: DataFrame, load_defs: Callable[[], DataFrame], path: str, checkpoint: str,
-    width: str = "1 minute", every: str | None = None,
+    width: str = "1 minute", every: str | None = None, keep: str | None = None,
 ) -> StreamingQuery:
     """Custom-metric counters. The definitions are loaded again for every micro-batch.
 
-    A micro-batch writes its own partial counts; :func:`read_metric_counts` adds them up, so a change of
-    the definitions acts on new records only.
+    A micro-batch adds its own partial counts, so a change of the definitions acts on new records only.
     """
     def batch(rows: DataFrame, batch_id: int) -> None:
         matched = match_metrics(rows.select("project_id", "message", "timestamp"), load_defs())
         counts = matched.groupBy(
             "project_id", "metric_id", F.window("timestamp", width)["start"].alias("bucket")
         ).agg(F.count(F.lit(1)).alias("count"))
-        write_version(counts, path, batch_id)
+        store = metric_store(rows.sparkSession, path)
+        store.commit(counts, batch_id, app=checkpoint)
+        _expire(store, rows.select(F.col("timestamp").alias("bucket")), keep)
 
     return start(logs, batch, checkpoint, every=every)
 
 
 def read_metric_counts(spark: SparkSession, path: str) -> DataFrame:
-    rows = read_versions(spark, path, schemas.METRIC_COUNTS)
-    return rows.groupBy(*METRIC_KEYS).agg(F.sum("count").alias("count"))
+    return metric_store(spark, path).read()
 
 
 # --- detector over stored counters ----------------------------------------------------------------------
 
 def run_volume_detector(
     logs: DataFrame, counts_path: str, path: str, checkpoint: str, width: str = "1 minute",
-    lookback: str = "24 hours", delay: str = "25 hours", every: str | None = "1 minute", **rules,
+    lookback: str = "24 hours", delay: str = "25 hours", every: str | None = "1 minute", keep: str | None = None, **rules,
 ) -> StreamingQuery:
     """Store the counters, then judge every bucket completed since the last micro-batch.
 
     Late records count for ``delay``. A bucket is complete when a later one has begun, and is judged once: what
-    arrives later changes its counters and the baselines of later buckets. The last judged bucket is kept with the results, so
-    a micro-batch that is run again judges the same buckets.
+    arrives later changes its counters and the baselines of later buckets. The last judged bucket is committed together with the
+    results, so a micro-batch that is run again judges the same buckets. Only the days of the look-back are read.
     """
-    ticks, step = f"{path}-ticks", width_seconds(width)
+    step = width_seconds(width)
 
     def batch(rows: DataFrame, batch_id: int) -> None:
         spark = rows.sparkSession
-        write_version(rows, counts_path, batch_id)
-        stored = read_versions(spark, counts_path, schemas.MINUTE_COUNTS, before=batch_id + 1)
-        newest = stored.where(F.col("version") == batch_id).agg(F.max("bucket")).first()[0]
-        done = read_versions(spark, ticks, TICK, before=batch_id).agg(F.max("until")).first()[0]
-        if newest is None:
-            write_version(spark.createDataFrame([], schemas.VOLUME_ANOMALY), path, batch_id)
-            return
-        since = None if done is None else F.lit(done)
-        as_of = F.lit(newest) if done is None else F.greatest(F.lit(newest), shift(since, step))
-        wanted = stored if done is None else stored.where(F.col("bucket") > shift(since, -width_seconds(lookback)))
-        found = volume_anomalies_backfill(
-            latest_rows(wanted, COUNT_KEYS), as_of, since, width, lookback, **rules
-        )
-        write_version(found, path, batch_id)
-        write_version(spark.range(1).select(shift(as_of, -step).alias("until")), ticks, batch_id)
+        rows.persist()
+        try:
+            counts, out = counts_store(spark, counts_path), anomalies_store(spark, path)
+            counts.commit(rows, batch_id, app=checkpoint)
+            newest, judged = _newest(rows, "bucket"), out.meta("judged")
+            if newest is None:
+                return
+            done = None if judged is None else dt.datetime.fromisoformat(judged)
+            as_of = newest if done is None else max(newest, done + dt.timedelta(seconds=step))
+            since = None if done is None else done - dt.timedelta(seconds=width_seconds(lookback))
+            stored = counts.read(since=None if since is None else since.date())
+            wanted = stored if since is None else stored.where(F.col("bucket") > instant(since))
+            found = volume_anomalies_backfill(
+                wanted, instant(as_of), None if done is None else instant(done), width, lookback, **rules)
+            out.commit(found, batch_id, app=checkpoint, meta={"judged": (as_of - dt.timedelta(seconds=step)).isoformat()})
+            for one in (counts, out):
+                _expire(one, rows.select(F.col("bucket").alias(one.ts_col)), keep)
+        finally:
+            rows.unpersist()
 
     counts = minute_counts(logs.withWatermark("timestamp", delay), width)
     return start(counts, batch, checkpoint, "update", every)
@@ -153,13 +205,14 @@ def detect_volume(
 ) -> DataFrame:
     """Anomalies of the last complete bucket before ``as_of`` over the stored counters, for a scheduler's clock.
 
-    It needs no input: when all records stop, the silent bucket counts as zero.
+    It needs no input: when all records stop, the silent bucket counts as zero. With a datetime only the days of the look-back are read.
     """
-    return volume_anomalies(read_counts(spark, counts_path), as_of, width, lookback, **rules)
+    since = as_of - dt.timedelta(seconds=width_seconds(lookback) + 2 * width_seconds(width)) if isinstance(as_of, dt.datetime) else None
+    return volume_anomalies(read_counts(spark, counts_path, since and since.date()), as_of, width, lookback, **rules)
 
 
 def read_volume_anomalies(spark: SparkSession, path: str) -> DataFrame:
-    return read_versions(spark, path, schemas.VOLUME_ANOMALY).drop("version")
+    return anomalies_store(spark, path).read()
 
 
 # --- the anomaly stream ---------------------------------------------------------------------------------
@@ -177,16 +230,13 @@ def run_recent_anomalies(
     Expired rows go when the newest anomaly of the micro-batch moves the clock.
     """
     def batch(rows: DataFrame, batch_id: int) -> None:
-        spark = rows.sparkSession
-        versions = read_versions(spark, path, schemas.VOLUME_ANOMALY, before=batch_id)
-        last = versions.agg(F.max("version")).first()[0]
-        stored = versions.where(F.col("version") == last) if last is not None else versions
+        store = anomalies_store(rows.sparkSession, path)
         fresh = rows.select(*schemas.VOLUME_ANOMALY.fieldNames()).persist()
         try:
-            merged = stored.drop("version").unionByName(fresh)
-            newest = merged.agg(F.max("timestamp")).first()[0]
-            kept = merged if newest is None else recent_anomalies(merged, F.lit(newest), n, days).drop("rank")
-            write_version(kept, path, batch_id)
+            merged = store.read().unionByName(fresh)
+            newest = _newest(merged, "timestamp")
+            kept = merged if newest is None else recent_anomalies(merged, newest, n, days).drop("rank")
+            store.commit(kept, batch_id, app=checkpoint, snapshot=True)
         finally:
             fresh.unpersist()
 
@@ -194,46 +244,62 @@ def run_recent_anomalies(
 
 
 def read_recent_anomalies(spark: SparkSession, path: str) -> DataFrame:
-    versions = read_versions(spark, path, schemas.VOLUME_ANOMALY)
-    last = versions.agg(F.max("version")).first()[0]
-    return versions.where(F.col("version") == last).drop("version")
+    return anomalies_store(spark, path).read()
 
 
 def run_alerts(
-    anomalies: DataFrame, load_subscriptions: Callable[[], DataFrame], path: str, checkpoint: str, as_of: When,
-    every: str | None = None,
+    anomalies: DataFrame, load_subscriptions: Callable[[], DataFrame], path: str, checkpoint: str, as_of: When | None = None,
+    every: str | None = None, remember: str = "30 days",
 ) -> StreamingQuery:
-    """Anomaly JSON to delivery rows: normalise, route, fan out, drop the pairs that exist."""
-    events = route_alerts(normalize_anomalies(anomalies, "value", as_of))
+    """Anomaly JSON to delivery rows: normalise, route, fan out, drop the pairs that exist.
 
+    ``as_of`` stands for the clock; without it each micro-batch takes the time at which it runs. A pair is known for ``remember``: only the days
+    of deliveries from then on are read.
+    """
     def batch(rows: DataFrame, batch_id: int) -> None:
-        known = read_versions(rows.sparkSession, path, schemas.DELIVERIES, before=batch_id)
-        write_version(enqueue_deliveries(rows, load_subscriptions(), known, as_of), path, batch_id)
+        now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None) if as_of is None else as_of
+        since = now - dt.timedelta(seconds=width_seconds(remember)) if isinstance(now, dt.datetime) else None
+        events = route_alerts(normalize_anomalies(rows, "value", now))
+        store = deliveries_store(rows.sparkSession, path)
+        known = store.read(since=since and since.date())
+        store.commit(enqueue_deliveries(events, load_subscriptions(), known, now), batch_id, app=checkpoint)
 
-    return start(events, batch, checkpoint, every=every)
+    return start(anomalies, batch, checkpoint, every=every)
 
 
 def read_deliveries(spark: SparkSession, path: str) -> DataFrame:
-    return read_versions(spark, path, schemas.DELIVERIES).drop("version")
+    return deliveries_store(spark, path).read()
 
 
 # --- ingest and index -----------------------------------------------------------------------------------
 
-def run_index(logs: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+def unstored(docs: DataFrame, store: Store) -> DataFrame:
+    """The documents whose id their day does not hold yet.
+
+    The days that ``docs`` touch are few and come to the driver, one value each; the store opens only their runs, and of
+    those the id column. Documents without a timestamp are a day of their own.
+    """
+    dated = docs.withColumn("log_date", F.to_date("timestamp"))
+    days = [r[0] for r in dated.select("log_date").distinct().collect()]
+    stored = store.versions(days=days).select(F.col("id").alias("_id"), F.col("log_date").alias("_day"))
+    return dated.join(stored, (F.col("id") == F.col("_id")) & F.col("log_date").eqNullSafe(F.col("_day")), "left_anti").drop("log_date")
+
+
+def run_index(
+    logs: DataFrame, path: str, checkpoint: str, every: str | None = None, keep: str | None = None,
+) -> StreamingQuery:
     """Log documents into the store of ``write_documents``, each id of a day once, however late it comes.
 
-    A micro-batch adds the ids that the days it touches do not hold yet; only those days are read. Run again
-    after a failure, it replaces its own rows.
+    A micro-batch adds the ids that the days it touches do not hold yet; only those days are read.
     """
     def batch(rows: DataFrame, batch_id: int) -> None:
-        spark, name = rows.sparkSession, f"stream-{batch_id}"
-        fresh = to_log_documents(rows)
-        if has_files(spark, path, "log_date=*/batch=*"):
-            stored = spark.read.schema(INDEXED).parquet(path).where(F.col("batch") != name).select("id", "log_date")
-            dated = fresh.withColumn("log_date", F.to_date("timestamp"))
-            touched = join_dim(stored, dated.select("log_date").distinct(), ["log_date"], "left_semi")
-            fresh = dated.join(touched, ["id", "log_date"], "left_anti").drop("log_date")
-        write_documents(fresh, path, name)
+        store = documents_store(rows.sparkSession, path)
+        docs = to_log_documents(rows).persist()
+        try:
+            store.commit(unstored(docs, store), batch_id, app=checkpoint, order=["project_id", "timestamp"])
+            _expire(store, docs, keep)
+        finally:
+            docs.unpersist()
 
     return start(logs, batch, checkpoint, every=every)
 

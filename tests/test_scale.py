@@ -78,8 +78,8 @@ def test_ingest_does_not_shuffle(spark, sf):
 
 def test_filters_and_columns_reach_the_scan(spark, sf, tmp_path):
     path = str(tmp_path / "docs")
-    sinks.write_documents(search.to_log_documents(t.logs(spark, sf), dedup=False), path)
-    docs = spark.read.parquet(path)
+    sinks.write_documents(search.to_log_documents(t.logs(spark, sf), dedup=False), path, 0)
+    docs = sinks.read_documents(spark, path)
     text = plan(search.search_by_service(docs, 2, "svc-1").select("id"))
     assert "EqualTo(project_id,2)" in text
     assert "EqualTo(service_id,svc-1)" in text and "message" not in text.split("ReadSchema")[1]
@@ -126,11 +126,11 @@ def test_hot_trace_is_one_row(spark):
 def test_retention_on_disk(spark, sf, tmp_path):
     path = str(tmp_path / "docs")
     docs = search.to_log_documents(t.logs(spark, sf), dedup=False)
-    sinks.write_documents(docs, path)
+    sinks.write_documents(docs, path, 0)
     as_of = dt.datetime(2024, 1, 31, 13, 30)
     report = retention.purge_documents(spark, path, as_of)
     assert report["dropped"] > 0 and report["rewritten"] > 0
-    left = spark.read.parquet(path)
+    left = sinks.read_documents(spark, path)
     kept = retention.apply_retention(docs, as_of)
     assert sorted(r.id for r in left.collect()) == sorted(r.id for r in kept.collect())
     assert retention.purge_documents(spark, path, as_of)["dropped"] == 0
@@ -145,9 +145,9 @@ def test_retention_keeps_fresh_documents_without_a_project(spark, tmp_path):
     as_of = dt.datetime(2024, 1, 31, 13, 30)
     for batch in (1, 2):
         sinks.write_documents(docs.withColumn("id", F.concat("id", F.lit(batch))), path, batch)
-    assert spark.read.parquet(path).count() == 8
+    assert sinks.read_documents(spark, path).count() == 8
     assert retention.purge_documents(spark, path, as_of) == {"dropped": 0, "rewritten": 1}
-    left = sorted(r.id for r in spark.read.parquet(path).collect())
+    left = sorted(r.id for r in sinks.read_documents(spark, path).collect())
     assert left == ["a1", "a2", "b1", "b2", "none1", "none2"]
     assert retention.purge_documents(spark, path, as_of + dt.timedelta(days=1)) == {"dropped": 1, "rewritten": 0}
 
@@ -156,5 +156,5 @@ def test_document_writes_are_repeatable(spark, sf, tmp_path):
     path = str(tmp_path / "docs")
     docs = search.to_log_documents(t.logs(spark, sf))
     for _ in range(2):
-        sinks.write_documents(docs, path)
-    assert spark.read.parquet(path).count() == docs.count()
+        sinks.write_documents(docs, path, "a")
+    assert sinks.read_documents(spark, path).count() == docs.count()

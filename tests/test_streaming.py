@@ -13,7 +13,7 @@ from sparklog.operators import metrics as met
 from sparklog.plans.stream_queries import EVENTS, finish
 from sparklog.sources import tables as t
 from sparklog.sources.readers import stream_logs
-from sparklog.sources.sinks import read_versions
+from sparklog.sources.sinks import read_documents
 from sparklog.streaming import jobs
 
 FILES = 4
@@ -97,10 +97,8 @@ def test_minute_counts_and_replayed_batches(spark, sf, files, tmp_path):
     finish(jobs.run_minute_counts(t.logs_of(feed(spark, files, tmp_path, FILES)), out, cp, "1 hour"), 120)
     want = met.minute_counts(batch_logs(spark, sf), "1 hour")
     assert same(want, jobs.read_counts(spark, out))
-    last = read_versions(spark, out, schemas.MINUTE_COUNTS).where("version = 3").drop("version")
-    from sparklog.sources.sinks import write_version
-
-    write_version(spark.createDataFrame(last.collect(), schemas.MINUTE_COUNTS), out, 3)
+    store = jobs.counts_store(spark, out)
+    assert not store.commit(want.limit(1).withColumn("total", F.lit(-1).cast("long")), 3, app=cp)
     assert same(want, jobs.read_counts(spark, out))
 
 
@@ -182,7 +180,7 @@ def test_index_keeps_each_id_once(spark, sf, files, tmp_path):
     stream = t.logs_of(feed(spark, files, tmp_path, FILES))
     finish(jobs.run_index(stream.union(stream), out, cp), 240)
     finish(jobs.run_index(stream.union(stream), out, cp), 240)
-    docs = spark.read.parquet(out)
+    docs = read_documents(spark, out)
     logs = batch_logs(spark, sf)
     assert docs.count() == logs.count() == docs.select("id").distinct().count()
 
@@ -201,7 +199,7 @@ def _late(spark, tmp_path):
 def test_index_keeps_late_rows(spark, tmp_path):
     for stream in _late(spark, tmp_path):
         finish(jobs.run_index(stream, str(tmp_path / "out"), str(tmp_path / "cp")), 120)
-    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a0", "b0", "c20", "d0"]
+    assert sorted(r.id for r in read_documents(spark, str(tmp_path / "out")).collect()) == ["a0", "b0", "c20", "d0"]
 
 
 def test_detector_counts_late_rows_and_judges_silence(spark, tmp_path):
@@ -213,9 +211,7 @@ def test_detector_counts_late_rows_and_judges_silence(spark, tmp_path):
 
     start, rows = dt.datetime(2026, 1, 1), str(tmp_path / "steady")
     steady = [(1, "s", start + dt.timedelta(minutes=m), 50 + m % 3, 0, 0) for m in range(60)]
-    from sparklog.sources.sinks import write_version
-
-    write_version(spark.createDataFrame(steady, schemas.MINUTE_COUNTS), rows, 0)
+    jobs.counts_store(spark, rows).commit(spark.createDataFrame(steady, schemas.MINUTE_COUNTS), 0, app="steady")
     found = jobs.detect_volume(spark, rows, start + dt.timedelta(minutes=61)).collect()
     assert [(r.type, r.current_volume) for r in found] == [("DROP", 0)]
 
