@@ -168,6 +168,10 @@ def redact_pii(df: DataFrame, cols: tuple[str, ...] = ("message", "raw_log")) ->
     return df.withColumns({c: redact(F.col(c)) for c in cols})
 
 
+#: How the text of an error row begins.
+FAILED = "Failed processing log: "
+
+
 # --- the ingest job -------------------------------------------------------------------------------------
 
 def ingest_outcomes(raw: DataFrame, projects: DataFrame, as_of: When, strict: bool = False) -> DataFrame:
@@ -210,7 +214,7 @@ def _error_text() -> Column:
         ~F.col("_valid"), F.concat(F.lit(C.VALIDATION_TEXT + ": "), F.array_join(F.map_values("errors"), "; "))
     ).otherwise(F.lit(C.UNAUTHORIZED_TEXT))
     return F.concat(
-        F.lit("Failed processing log: "), reason, F.lit(" | Raw: "), redact(F.coalesce(F.col("message"), F.lit("null")))
+        F.lit(FAILED), reason, F.lit(" | Raw: "), redact(F.coalesce(F.col("message"), F.lit("null")))
     )
 
 
@@ -222,7 +226,8 @@ def ingest_errors(raw: DataFrame, projects: DataFrame) -> DataFrame:
 
 
 def ingest_status(raw: DataFrame, projects: DataFrame, as_of: When) -> DataFrame:
-    """One response row per record."""
+    """One response row per record. The id is that of the log only if the record has a ``record_id``; a sender
+    without one is answered from the stored outcomes (:func:`outcome_status`)."""
     return _classified(raw, projects).select(
         F.when(_accepted(), F.col("_id")).alias("id"),
         F.when(_accepted(), C.ACCEPTED).otherwise(C.ERROR).alias("status"),
@@ -232,6 +237,18 @@ def ingest_status(raw: DataFrame, projects: DataFrame, as_of: When) -> DataFrame
     )
 
 
+def outcome_status(outcomes: DataFrame) -> DataFrame:
+    """One response row per row of an outcome table, with the ids under which the logs are stored."""
+    ok = F.col("outcome") == "logs"
+    invalid = F.col("error").startswith(f"{FAILED}{C.VALIDATION_TEXT}:")
+    return outcomes.select(
+        F.when(ok, F.col("id")).alias("id"),
+        F.when(ok, C.ACCEPTED).otherwise(C.ERROR).alias("status"),
+        F.when(ok, C.ACCEPTED_TEXT).when(invalid, C.VALIDATION_TEXT).otherwise(C.UNAUTHORIZED_TEXT).alias("message"),
+        F.col("ingestion_timestamp").alias("timestamp"),
+    )
+
+
 def ingest_stats(outcomes: DataFrame) -> DataFrame:
     """Accepted and failed records of an outcome table, and the delay from event to ingest over the accepted ones."""
     ok = F.col("outcome") == "logs"

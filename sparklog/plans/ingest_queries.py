@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparklog import schemas
 from sparklog.functions.clock import MINUTE_KEY, bucket_start, bucket_text, instant, parse_bucket, parse_event_time
 from sparklog.functions.keys import dedup_key, hash_api_key
 from sparklog.functions.levels import level_severity
@@ -16,7 +17,8 @@ from sparklog.plans.registry import query
 from sparklog.session import scratch_dir
 from sparklog.sources import tables as t
 from sparklog.sources.readers import read_raw_logs
-from sparklog.sources.sinks import keyed_logs
+from sparklog.sources.sinks import documents_store, keyed_logs, read_documents, write_outcomes
+from sparklog.streaming.jobs import unstored
 
 RAW_COLUMNS = "record_id, message, service_id, format, level, \"timestamp\", host, api_key, traceparent, project_id, trace_id, span_id, parent_span_id"
 ENTRY_COLUMNS = ["id", "timestamp", "service_id", "level", "message", "host", "raw_log", "project_id",
@@ -245,6 +247,41 @@ def ingest_identity(spark, d):
     return to_log_documents(logs).groupBy("project_id", "service_id").agg(F.count(F.lit(1)).alias("documents"))
 
 
+@query("ingest_growing_folder", sql("""
+    SELECT tenant AS project_id, service_id, count(*) AS documents FROM classified WHERE valid AND tenant IS NOT NULL GROUP BY ALL""", "classified"))
+def ingest_growing_folder(spark, d):
+    """A folder that is ingested, grows and is ingested again with other split settings: every record is one document."""
+    root = scratch_dir(spark, "growing")
+    raw = t.raw_logs(spark, d)
+    old = F.expr("cast(substr(record_id, 2) as bigint) % 4 > 0")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for part, batch, split in ((raw.where(old).repartition(3), 1, size), (raw.where(~old).coalesce(1), 2, "1m")):
+            part.drop("record_id").write.mode("append").json(f"{root}/raw")
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+            logs, _ = ing.ingest(read_raw_logs(spark, f"{root}/raw"), t.projects(spark, d), t.AS_OF)
+            store = documents_store(spark, f"{root}/docs")
+            store.commit(unstored(to_log_documents(logs), store), batch)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    return read_documents(spark, f"{root}/docs").groupBy("project_id", "service_id").agg(F.count(F.lit(1)).alias("documents"))
+
+
+@query("outcome_status", sql("""
+    SELECT CASE WHEN valid AND tenant IS NOT NULL THEN 'ACCEPTED' ELSE 'ERROR' END AS status,
+      CASE WHEN NOT valid THEN 'Validation Failed' WHEN tenant IS NULL THEN 'Invalid or missing API Key'
+           ELSE 'Log accepted for processing' END AS message, count(*) AS records,
+      count(*) FILTER (valid AND tenant IS NOT NULL) AS stored FROM classified GROUP BY ALL""", "classified"))
+def outcome_status(spark, d):
+    """Answers to records that came without an id: each accepted one names a stored log."""
+    root = scratch_dir(spark, "answers")
+    write_outcomes(ing.ingest_outcomes(t.raw_logs(spark, d).drop("record_id"), t.projects(spark, d), t.AS_OF), root)
+    stored = spark.read.schema(schemas.INGEST_OUTCOME).parquet(root)
+    logs, _ = ing.split_outcomes(stored)
+    answers = ing.outcome_status(stored).join(logs.select("id", F.lit(1).alias("one")), "id", "left")
+    return answers.groupBy("status", "message").agg(F.count(F.lit(1)).alias("records"), F.count("one").alias("stored"))
+
+
 @query("restrict_to_user", sql("""
     SELECT id, project_id FROM logs WHERE project_id IN (
       SELECT p.id FROM projects p JOIN users u ON u.id = p.owner_id WHERE u.email = 'user20@example.com')""",

@@ -205,6 +205,48 @@ def test_equal_records_are_different_records(spark, tmp_path):
     assert ing.parse_logs(nulls, T).select("id").distinct().count() == 4
 
 
+def test_ids_stay_when_the_folder_grows_and_is_split_otherwise(spark, tmp_path):
+    """Many splits per file, several files per task, blank lines, arrays and broken lines."""
+    import random
+
+    rng, sizes = random.Random(3), {}
+    for name in "bdf":
+        lines = [json.dumps({"message": f"{name}{i} " + "x" * rng.randint(0, 400), "service_id": "s"}) for i in range(700)]
+        lines[5], lines[9], lines[11] = "", "{broken", "[" + json.dumps({"message": "one"}) + ", " + json.dumps({"message": "two"}) + "]"
+        (tmp_path / f"{name}.json").write_text("\n".join(lines))
+        sizes[name] = lines
+
+    def ids():
+        return {(r.message, r.record_id) for r in readers.read_raw_logs(spark, str(tmp_path)).collect()}
+
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        first = ids()
+        assert len(first) == len({i for _, i in first}) == 3 * 700
+        for message, record_id in first:
+            file, line = record_id.split(".json:")
+            line, *nth = line.split(":")
+            text = sizes[file[-1]][int(line)]
+            assert message is None and text == "{broken" or message == ["one", "two"][len(nth)] or json.loads(text)["message"] == message
+        for name in "ace":
+            (tmp_path / f"{name}.json").write_text(json.dumps({"message": name}) + "\n")
+        for size in ("20k", "3k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            again = ids()
+            assert first <= again and len(again) == len(first) + 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
+def test_other_formats_have_places_too(spark, tmp_path):
+    raw = spark.createDataFrame([{"message": f"m{i}", "service_id": "s"} for i in range(50)], schemas.LOG_RAW).coalesce(2)
+    for fmt in ("csv", "parquet", "orc"):
+        raw.write.format(fmt).save(str(tmp_path / fmt))
+        rows = readers.read_raw_logs(spark, str(tmp_path / fmt), fmt)
+        found = rows.select("message", "record_id").collect()
+        assert {r.message for r in found} == {f"m{i}" for i in range(50)} and len({r.record_id for r in found}) == 50
+
+
 def test_decode_log_events(spark):
     event = {"id": "e", "serviceId": "s", "level": "WARN", "message": "m", "timestamp": 1726480800.5, "projectId": 7}
     rows = texts(spark, json.dumps(event), "{broken", "12")
