@@ -25,8 +25,9 @@ TOP_TERMS = 50
 #: Bytes of text that are split at once, and counts that a task holds before it sends them.
 SLICE_BYTES = 4 << 20
 HELD_ROWS = 1 << 20
-#: Cells (sources times terms) of one columnar shard.
-SHARD_CELLS = 1 << 21
+#: Cells (sources times terms) of one columnar shard; a shard has four terms per source at least, as it sends a value for every
+#: two sources.
+SHARD_CELLS = 1 << 16
 PARTIAL = "lang string, source string, term string, n long, docs long"
 DIVERGENCE = "lang string, i int, j int, term string, value long"
 
@@ -135,7 +136,7 @@ def divergences(docs: DataFrame) -> DataFrame:
     Null text, lang and source are read as ''. Repeated rows count as documents of their own; ties are ranked by item.
     A language without kept terms has pairs of value 0; an empty table gives an empty result. Extra columns are not read.
     The result itself has a row for every two sources of a language, so their number is taken to be thousands at most;
-    what a shard holds is bounded by SHARD_CELLS, unless one language has more sources than that.
+    a shard holds SHARD_CELLS counts, or four terms of each source where that is more.
     """
     rows = docs.select(*[F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name) for name in ("lang", "source", "text")])
     merged = partial_counts(rows).repartition("lang", "term").groupBy("lang", "term", "source").agg(
@@ -148,11 +149,11 @@ def divergences(docs: DataFrame) -> DataFrame:
     groups = stored(rows.select("lang", "source").distinct().join(used, ["lang", "source"], "left").select(
         "lang", "source", F.coalesce("total", F.lit(0).cast("long")).alias("total"),
         (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).alias("no")), "audit-groups")
-    cells = F.col("vocabulary") * F.col("sources")
+    width = F.greatest(F.floor(SHARD_CELLS / F.col("sources")), 4 * F.col("sources"))
     langs = stored(groups.groupBy("lang").agg(F.count("*").alias("sources")).join(
         kept.groupBy("lang").agg(F.count("*").alias("vocabulary")), "lang", "left").select(
         "lang", "sources", F.coalesce("vocabulary", F.lit(0).cast("long")).alias("vocabulary")).withColumn(
-        "shards", F.greatest(F.lit(1), F.ceil(cells / SHARD_CELLS)).cast("int")), "audit-langs")
+        "shards", F.greatest(F.lit(1), F.ceil(F.col("vocabulary") / width)).cast("int")), "audit-langs")
     dealt = join_counted(kept, langs.select("lang", "vocabulary", "shards"), "lang", "vocabulary", kept.count()).select(
         "lang", F.pmod(F.xxhash64("term"), F.col("shards")).cast("int").alias("shard"), "term", "own")
     sides = groups.join(langs, "lang").select(
