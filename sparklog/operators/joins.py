@@ -29,17 +29,18 @@ def join_dim(
     condition: Column | None = None,
     salts: int = SALTS,
     max_rows: int = MAX_ROWS,
+    fits: bool | None = None,
 ) -> DataFrame:
     """Join facts with a dimension on equal columns, plus an optional residual condition.
 
     A dimension that is measured as small is broadcast, so the facts are not shuffled. A larger one is
     joined by shuffle with the facts salted: every fact row gets one salt, made of the row and its task
     so that equal rows of different tasks spread too, and every dimension row is repeated once per salt, so one hot key spreads over ``salts`` tasks and the result is the same for
-    inner, left, semi and anti joins. ``condition`` may use columns of both sides; the names must differ.
+    inner, left, semi and anti joins. ``fits`` is the result of a measurement that was already made. ``condition`` may use columns of both sides; the names must differ.
     """
     side = dim.select(*[F.col(c).alias(f"_k_{c}") if c in on else F.col(c) for c in dim.columns])
     keys = on
-    if fits_broadcast(dim, max_rows):
+    if fits_broadcast(dim, max_rows) if fits is None else fits:
         side = F.broadcast(side)
     else:
         keys = [*on, "_salt"]

@@ -84,6 +84,29 @@ def matches_join(spark, d):
     return rows.select("id", "project_id", "metric_id")
 
 
+# The same conditions in plain string functions: a regular expression per pair would take minutes here.
+_MANY = """(SELECT * FROM logs l JOIN (SELECT range AS n, range % 3 + 1 AS project FROM range(3000)) m ON m.project = l.project_id AND CASE n % 6
+    WHEN 0 THEN contains(l.message, '"k": ' || n // 6 || ',') OR contains(l.message, '"k": ' || n // 6 || '}')
+    WHEN 1 THEN contains(l.message, 'session-' || n)
+    WHEN 2 THEN CASE WHEN ends_with(rtrim(l.message, '}'), n::VARCHAR) THEN regexp_full_match(l.message, '[a-z]+ .*k.*: ?' || n || '\\}?') ELSE false END
+    WHEN 3 THEN length(l.message) BETWEEN 1 AND n % 90 + 10
+    WHEN 4 THEN CASE WHEN contains(l.message, ' ' || n) THEN regexp_full_match(l.message, '.*(click|view).* ' || n || '.*') ELSE false END
+    ELSE CASE WHEN starts_with(l.message, 'user') THEN regexp_full_match(l.message, 'user[^ ]* ' || n // 6 || '.*') ELSE false END END)"""
+
+
+@query("match_many_metrics", sql(f"SELECT n AS metric_id, count(*) AS hits, min(id) AS first_id FROM {_MANY} GROUP BY ALL", "logs"))
+def many_metrics(spark, d):
+    """1,000 definitions a project, of which some require no text."""
+    pattern = F.expr("""case id % 6 when 0 then concat('.*"k": ', id div 6, '[,}].*') when 1 then concat('(?s).*session-', id, '.*')
+        when 2 then concat('[a-z]+ .*k.*: ?', id, '\\\\}?') when 3 then concat('.{1,', id % 90 + 10, '}')
+        when 4 then concat('.*(click|view).* ', id, '.*') else concat('user[^ ]* ', id div 6, '.*') end""")
+    defs = spark.range(3000).select(
+        "id", (F.col("id") % 3 + 1).alias("project_id"), F.lit("m").alias("name"), pattern.alias("regex_pattern"),
+        F.lit("2023-12-01").cast("timestamp_ntz").alias("created_at"))
+    return met.match_metrics(t.logs(spark, d), defs).groupBy("metric_id").agg(
+        F.count(F.lit(1)).alias("hits"), F.min("id").alias("first_id"))
+
+
 _METRIC_HOURS = f"""(SELECT project_id, metric_id, time_bucket(INTERVAL 1 HOUR, "timestamp") AS bucket, count(*) AS count
     FROM {_MATCHES} GROUP BY ALL)"""
 

@@ -122,11 +122,31 @@ def test_metric_definitions(spark):
     plain = {("l1", 1), ("l1", 6), ("l3", 1), ("l3", 5), ("l3", 6), ("l4", 7)}
     assert {(r.log_id, r.metric_id) for r in met.match_metrics(logs, defs).collect()} == plain
     homeless = spark.createDataFrame([(8, None, "no project", ".*")], defs.schema)
-    for cap in (0, 64):
-        got = met.match_metrics(logs, defs.unionByName(homeless), max_rows=cap).collect()
+    for cap, index_from in ((0, 100), (64, 100), (0, 0), (64, 0)):
+        got = met.match_metrics(logs, defs.unionByName(homeless), max_rows=cap, index_from=index_from).collect()
         assert {(r.log_id, r.metric_id) for r in got} == plain and len(got) == len(plain)
 
 
+def test_required_texts_lose_no_match(spark):
+    """Random patterns and messages: the look-up by required texts finds what the patterns match one by one."""
+    import random
+    import re
+
+    rng = random.Random(8)
+    parts = ["order", "ab?", "c+", "x{2}", "x{0,2}y", "[a-d]", r"[^\]]", r"\d{1,3}", r"\.", r"\x41", r"\w+", "(ab)?", "(ab|cd)", "((x)y)*", "(?:user)", ".*",
+             ".", "=", " k: ", "é", "user ", "a*?b", "d++", r"\bend\b", "^", "$", "(?i:B)"]
+    patterns = sorted({"".join(rng.choices(parts, k=rng.randint(1, 4))) for _ in range(150)} | {"(?s).*a.b.*", "(?i)ORDER", "order|x", "a{2}"})
+    words = ["order", "ab", "a", "cc", "xx", "xxy", "y", "b", "12", ".", "A", "w_1", "cd", "xy", "user", "=", " k: ", "é", "user ", "b", "dd", "end", "B"]
+    messages = sorted({"".join(rng.choices(words, k=rng.randint(1, 5))) for _ in range(1500)} | {"", "a\nb", "ORDER", "x", "aa"})
+    defs = spark.createDataFrame([(i, i % 2, "m", p) for i, p in enumerate(patterns)], "id long, project_id long, name string, regex_pattern string")
+    logs = spark.createDataFrame([(m, p) for m in messages for p in (0, 1)], "message string, project_id long")
+    want = {(m, i) for i, p in enumerate(patterns) for m in messages if re.fullmatch(p, m, re.ASCII)}
+    for index_from in (0, 10_000):
+        got = [(r.message, r.metric_id) for r in met.match_metrics(logs, defs, index_from=index_from).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert len(want) > 300
+
+
 def test_metric_series_has_no_gaps(spark):
     defs = spark.createDataFrame([(5, 1)], "id long, project_id long")
     table = spark.createDataFrame([(1, 5, START, 3), (1, 5, START - 90 * MINUTE, 9)], schemas.METRIC_COUNTS)
