@@ -89,7 +89,7 @@ _MANY = """(SELECT * FROM logs l JOIN (SELECT range AS n, range % 3 + 1 AS proje
     WHEN 0 THEN contains(l.message, '"k": ' || n // 6 || ',') OR contains(l.message, '"k": ' || n // 6 || '}')
     WHEN 1 THEN contains(l.message, 'session-' || n)
     WHEN 2 THEN CASE WHEN ends_with(rtrim(l.message, '}'), n::VARCHAR) THEN regexp_full_match(l.message, '[a-z]+ .*k.*: ?' || n || '\\}?') ELSE false END
-    WHEN 3 THEN length(l.message) BETWEEN 1 AND n % 90 + 10
+    WHEN 3 THEN length(l.message) BETWEEN 1 AND n % 90 + 10 AND NOT contains(l.message, chr(10))
     WHEN 4 THEN CASE WHEN contains(l.message, ' ' || n) THEN regexp_full_match(l.message, '.*(click|view).* ' || n || '.*') ELSE false END
     ELSE CASE WHEN starts_with(l.message, 'user') THEN regexp_full_match(l.message, 'user[^ ]* ' || n // 6 || '.*') ELSE false END END)"""
 
