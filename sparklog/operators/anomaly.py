@@ -13,7 +13,10 @@ from sparklog.functions.keys import dedup_key, stable_id
 from sparklog.functions.levels import is_error, is_warning
 from sparklog.operators.ingest import When
 from sparklog.operators.joins import top_per_group
+from sparklog.session import scratch_dir
 
+#: Time slots per silence in which the next anomaly of a key is looked for.
+SLOTS = 96
 # Sums of squares outgrow 64 bits; the z-score rules are decided on exact integers.
 WIDE = T.DecimalType(38, 0)
 
@@ -38,7 +41,16 @@ def error_rate_windows(
     ]
     if "project_id" not in keys:
         aggs.append(F.max_by("project_id", time_col).alias("project_id"))
-    grouped = logs.groupBy(*keys, F.window(time_col, width).alias("_window")).agg(*aggs)
+    return _rates(logs.groupBy(*keys, F.window(time_col, width).alias("_window")).agg(*aggs))
+
+
+def windows_of(counted: DataFrame, width: str = "1 minute") -> DataFrame:
+    """:func:`error_rate_windows` from counters (``metrics.counters``) of a width that divides ``width``."""
+    return _rates(counted.groupBy("project_id", "service_id", F.window("bucket", width).alias("_window")).agg(
+        F.sum("total").alias("total_count"), F.sum("error").alias("error_count"), F.sum("warn").alias("warning_count")))
+
+
+def _rates(grouped: DataFrame) -> DataFrame:
     return grouped.select(
         "project_id", "service_id",
         F.col("_window.start").alias("window_start"), F.col("_window.end").alias("window_end"),
@@ -229,8 +241,13 @@ def volume_anomalies_backfill(
 
 # --- the anomaly table ----------------------------------------------------------------------------------
 
-def dedup_anomalies(anomalies: DataFrame) -> DataFrame:
-    """First anomaly of every deduplication key: a combinable aggregate, so a hot key stays cheap."""
+def dedup_anomalies(anomalies: DataFrame, window: str | None = None) -> DataFrame:
+    """First anomaly of every deduplication key: a combinable aggregate, so a hot key stays cheap.
+
+    With ``window`` (for example ``"24 hours"``) a kept anomaly silences its key for that long only, and the next one after it is kept.
+    """
+    if window is not None:
+        return _suppressed(anomalies, width_seconds(window) * 1_000_000)
     id_col = "event_id" if "event_id" in anomalies.columns else "id"
     rest = [c for c in anomalies.columns if c not in ("timestamp", id_col, "deduplication_key")]
     first = F.min_by(F.struct("timestamp", id_col, *rest), F.struct("timestamp", id_col)).alias("_first")
@@ -240,6 +257,65 @@ def dedup_anomalies(anomalies: DataFrame) -> DataFrame:
     )
 
 
+def _next_after(ticks: DataFrame, window: int) -> DataFrame:
+    """Per tick (``_key``, ``_us``), the first tick ``_to`` of its key that is at least ``window`` later; ticks without one are left out.
+
+    A key is cut into SLOTS time slots a window. A probe at ``_us + window`` meets the ticks of its own slot in one sorted pass; if none
+    is left there, the next slot that has ticks answers with its first. So no task needs all ticks of a key, only all its slots.
+    """
+    def slot(at: Column) -> Column:
+        return F.floor(at / F.lit(max(1, window // SLOTS)))
+
+    def no(name: str) -> Column:
+        return F.lit(None).cast("long").alias(name)
+
+    points = ticks.select("_key", F.col("_us").alias("_at"), F.col("_us").alias("_tick"), no("_from"))
+    probes = ticks.select("_key", (F.col("_us") + window).alias("_at"), no("_tick"), F.col("_us").alias("_from"))
+    both = points.unionByName(probes).withColumn("_slot", slot(F.col("_at")))
+    later = Window.partitionBy("_key", "_slot").orderBy(F.desc("_at"), F.col("_tick").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    here = both.withColumn("_to", F.last("_tick", ignorenulls=True).over(later)).where(F.col("_from").isNotNull())
+    after = Window.partitionBy("_key").orderBy(F.desc("_slot")).rowsBetween(Window.unboundedPreceding, -1)
+    slots = both.groupBy("_key", "_slot").agg(F.min("_tick").alias("_first")).withColumn(
+        "_next", F.last("_first", ignorenulls=True).over(after)).select("_key", "_slot", "_next")
+    found = here.join(slots, ["_key", "_slot"]).select("_key", F.col("_from").alias("_us"), F.coalesce("_to", "_next").alias("_to"))
+    return found.where(F.col("_to").isNotNull())
+
+
+def _suppressed(anomalies: DataFrame, window: int) -> DataFrame:
+    """The anomalies that a key's silence of ``window`` microseconds lets through.
+
+    Each kept anomaly points to the next one that is kept. The chain of a key is followed by pointer doubling: hops of 1, 2, 4 ...
+    anomalies are built by joining the pointers with themselves, and the chain is filled in from the longest hop down, so a year of days takes nine
+    rounds and no key sits in one task. Of equal times the smallest id counts. Anomalies without a time are all kept.
+    """
+    spark, id_col = anomalies.sparkSession, "event_id" if "event_id" in anomalies.columns else "id"
+    root = scratch_dir(spark, "suppression")
+
+    def stored(frame: DataFrame, name: str) -> DataFrame:
+        frame.write.parquet(f"{root}/{name}")
+        return spark.read.schema(frame.schema).parquet(f"{root}/{name}")
+
+    key = F.coalesce(F.concat(F.lit("="), F.col("deduplication_key").cast("string")), F.lit("")).alias("_key")
+    rows = anomalies.withColumns({"_key": key, "_us": F.unix_micros("timestamp")})
+    timed = rows.where(F.col("_us").isNotNull())
+    own = F.struct(*[F.col(f"`{c}`") for c in anomalies.columns])
+    ticks = stored(timed.groupBy("_key", "_us").agg(F.min_by(own, id_col).alias("_row")), "ticks")
+    kept = stored(ticks.groupBy("_key").agg(F.min("_us").alias("_us")), "kept")
+    first, last = ticks.agg(F.min("_us"), F.max("_us")).first()
+    rounds = 0 if first is None else int((last - first) // window).bit_length()
+    hops = []
+    for n in range(rounds):
+        hop = _next_after(ticks.select("_key", "_us"), window) if n == 0 else hops[-1].join(
+            hops[-1].select("_key", F.col("_us").alias("_to"), F.col("_to").alias("_then")), ["_key", "_to"]).select(
+            "_key", "_us", F.col("_then").alias("_to"))
+        hops.append(stored(hop, f"hop-{n}"))
+    for n in reversed(range(rounds)):
+        reached = kept.join(hops[n], ["_key", "_us"]).select("_key", F.col("_to").alias("_us"))
+        kept = stored(kept.unionByName(reached), f"kept-{n}")
+    chosen = ticks.join(kept, ["_key", "_us"]).select("_row.*")
+    return chosen.unionByName(rows.where(F.col("_us").isNull()).select(*anomalies.columns))
+
+
 def recent_anomalies(anomalies: DataFrame, as_of: When, n: int = 50, days: int = 7) -> DataFrame:
     """The last ``n`` anomalies of every project, newest first, not older than ``days``."""
     id_col = "event_id" if "event_id" in anomalies.columns else "id"

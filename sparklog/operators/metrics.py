@@ -42,6 +42,27 @@ def minute_counts(logs: DataFrame, width: str = "1 minute") -> DataFrame:
     )
 
 
+def counters(logs: DataFrame, width: str = "1 minute") -> DataFrame:
+    """Total, error and warn counts per (project, service, bucket), records without a project for themselves.
+
+    The one table from which all coarser counts follow: :func:`counts_of` and ``anomaly.windows_of`` roll it up, so the logs
+    are read and parsed once for both detectors, the dashboards and the charts.
+    """
+    return logs.groupBy("project_id", "service_id", F.window("timestamp", width)["start"].alias("bucket")).agg(
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(is_error(F.col("level"))).alias("error"),
+        F.count_if(is_warning(F.col("level"))).alias("warn"),
+    )
+
+
+def counts_of(counted: DataFrame, width: str = "1 minute") -> DataFrame:
+    """:func:`minute_counts` from counters of a width that divides ``width``."""
+    return counted.groupBy(
+        F.coalesce(F.col("project_id"), F.lit(0)).cast("bigint").alias("project_id"), "service_id",
+        F.window("bucket", width)["start"].alias("bucket"),
+    ).agg(*[F.sum(c).alias(c) for c in ("total", "error", "warn")])
+
+
 def _recent(counts: DataFrame, as_of: When, hours: int) -> DataFrame:
     return counts.where(F.col("bucket") >= shift(instant(as_of), -hours * 3600))
 

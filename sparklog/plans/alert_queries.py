@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sparklog.operators import alerts as al
 from sparklog.operators import delivery as de
-from sparklog.plans.anomaly_queries import rate_anomalies, volume_anomalies
+from sparklog.plans.anomaly_queries import counter_table, detected
 from sparklog.plans.oracle import AS_OF, ORDERS_AS_OF, sql
 from sparklog.plans.registry import query
 from sparklog.sources import tables as t
@@ -16,7 +16,7 @@ HISTORY = ('id, subscription_id, event_id, status, attempts, http_status, latenc
 
 
 def events(spark, d):
-    return al.all_anomalies(rate_anomalies(spark, d), volume_anomalies(spark, d))
+    return al.all_anomalies(*detected(counter_table(spark, d)))
 
 
 def routed(spark, d):
@@ -25,7 +25,7 @@ def routed(spark, d):
 
 def _wire(spark, d):
     """Both detectors as the JSON text they publish."""
-    rate = rate_anomalies(spark, d)
+    rate, found = detected(counter_table(spark, d))
     rate = rate.select(F.to_json(F.struct(
         "id", F.col("schema_version").alias("schemaVersion"), F.col("event_type").alias("eventType"),
         F.col("project_id").alias("projectId"), F.col("service_id").alias("serviceId"), "detector", "severity",
@@ -34,7 +34,7 @@ def _wire(spark, d):
         F.struct(F.col("metrics.error_rate").alias("errorRate"), F.col("metrics.total_count").alias("totalCount"),
                  F.col("metrics.error_count").alias("errorCount")).alias("metrics"),
     )).alias("value"))
-    volume = volume_anomalies(spark, d).select(F.to_json(F.struct(
+    volume = found.select(F.to_json(F.struct(
         F.col("schema_version").alias("schemaVersion"), F.col("event_type").alias("eventType"),
         F.col("event_id").alias("eventId"), F.col("project_id").alias("projectId"),
         F.col("service_id").alias("serviceId"), "detector", "severity",
@@ -102,18 +102,19 @@ def fan_out(spark, d):
     return al.fan_out(routed(spark, d), t.subscriptions(spark, d)).select("event_id", "project_id", "subscription_id")
 
 
-def _known(spark, d):
+def _known(spark, d, rate):
     """Deliveries that exist already: those of the error-rate events."""
-    rate = al.route_alerts(al.rate_events(rate_anomalies(spark, d)))
+    rate = al.route_alerts(al.rate_events(rate))
     return al.fan_out(rate, t.subscriptions(spark, d)).select("subscription_id", "event_id")
 
 
 @query("new_deliveries", sql(
     "SELECT subscription_id, event_id FROM fanned WHERE detector = 'VOLUME_Z_SCORE'", "fanned"))
 def new_deliveries(spark, d):
-    fanned = al.fan_out(routed(spark, d), t.subscriptions(spark, d))
+    rate, volume = detected(counter_table(spark, d))
+    fanned = al.fan_out(al.route_alerts(al.all_anomalies(rate, volume)), t.subscriptions(spark, d))
     twice = fanned.unionByName(fanned)
-    return de.new_deliveries(twice, _known(spark, d)).select("subscription_id", "event_id")
+    return de.new_deliveries(twice, _known(spark, d, rate)).select("subscription_id", "event_id")
 
 
 @query("enqueue_deliveries", sql(f"""
@@ -121,7 +122,9 @@ def new_deliveries(spark, d):
       'PENDING' AS status, 0 AS attempts, {AS_OF} AS next_attempt_at, {AS_OF} AS created_at, event_id AS payload_event
     FROM fanned WHERE detector = 'VOLUME_Z_SCORE'""", "fanned"))
 def enqueue_deliveries(spark, d):
-    rows = de.enqueue_deliveries(events(spark, d).transform(al.route_alerts), t.subscriptions(spark, d), _known(spark, d), t.AS_OF)
+    rate, volume = detected(counter_table(spark, d))
+    routed = al.route_alerts(al.all_anomalies(rate, volume))
+    rows = de.enqueue_deliveries(routed, t.subscriptions(spark, d), _known(spark, d, rate), t.AS_OF)
     return rows.select(
         "id", "subscription_id", "event_id", "status", "attempts", "next_attempt_at", "created_at",
         F.get_json_object("payload", "$.eventId").alias("payload_event"),

@@ -9,9 +9,10 @@ from sparklog import constants as C
 from sparklog.operators import alerts as al
 from sparklog.operators import anomaly as an
 from sparklog.operators import search as se
-from sparklog.operators.metrics import minute_counts
+from sparklog.operators.metrics import counters, counts_of, minute_counts
 from sparklog.plans.oracle import AS_OF, sql
 from sparklog.plans.registry import query
+from sparklog.session import scratch_dir
 from sparklog.sources import tables as t
 
 HOURLY = {"width": "1 hour", "lookback": "7 days", "min_drop_mean": 1.0}
@@ -24,6 +25,19 @@ VOLUME_COLUMNS = ["project_id", "service_id", "severity", "deduplication_key", "
                   "current_volume", "mean_volume", "std_dev", "type"]
 
 
+def counter_table(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly counters of the logs, stored: the only read of the events for everything that is rolled up from them."""
+    path, counted = scratch_dir(spark, "counters"), counters(t.logs(spark, d), "1 hour")
+    counted.write.parquet(path)
+    return spark.read.schema(counted.schema).parquet(path)
+
+
+def detected(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Error-rate anomalies by day and volume anomalies by hour, from counters."""
+    rate = an.error_rate_anomalies(an.windows_of(counted, "1 day"), spike=SPIKE)
+    return rate, an.volume_anomalies_backfill(counts_of(counted, "1 hour"), t.AS_OF, **HOURLY)
+
+
 def rate_anomalies(spark: SparkSession, d: str) -> DataFrame:
     return an.error_rate_anomalies(an.error_rate_windows(t.logs(spark, d), "1 day"), spike=SPIKE)
 
@@ -101,7 +115,7 @@ def volume_backfill(spark, d):
     SELECT event_id, project_id, service_id, detector, severity, deduplication_key, description, "timestamp",
       round(z_score, 6) AS z_score, type, error_rate, total_count FROM anom_events""", "anom_events"))
 def all_anomalies(spark, d):
-    events = al.all_anomalies(rate_anomalies(spark, d), volume_anomalies(spark, d))
+    events = al.all_anomalies(*detected(counter_table(spark, d)))
     return events.select(
         "event_id", "project_id", "service_id", "detector", "severity", "deduplication_key", "description", "timestamp",
         F.round("metrics.z_score", 6).alias("z_score"), "metrics.type", "metrics.error_rate", "metrics.total_count",
@@ -120,6 +134,21 @@ def dedup_anomalies(spark, d):
     return an.dedup_anomalies(rows)
 
 
+@query("dedup_anomalies_window", sql("""
+    SELECT deduplication_key, "timestamp", (SELECT min(id) FROM logs l WHERE l."timestamp" = k."timestamp"
+      AND l.project_id || ':' || l.service_id = k.deduplication_key) AS event_id FROM (
+      WITH RECURSIVE l AS (SELECT project_id || ':' || service_id AS deduplication_key, "timestamp" FROM logs),
+      k AS (SELECT deduplication_key, min("timestamp") AS "timestamp" FROM l GROUP BY 1
+        UNION ALL SELECT k.deduplication_key, min(l."timestamp") FROM k JOIN l ON l.deduplication_key = k.deduplication_key
+          AND l."timestamp" >= k."timestamp" + INTERVAL 24 HOUR GROUP BY k.deduplication_key)
+      SELECT * FROM k) k""", "logs"))
+def dedup_anomalies_window(spark, d):
+    """Every log row as a candidate of its service: a kept one silences the service for a day."""
+    key = F.concat_ws(":", "project_id", "service_id")
+    rows = t.logs(spark, d).select(F.col("id").alias("event_id"), "timestamp", key.alias("deduplication_key"))
+    return an.dedup_anomalies(rows, "24 hours")
+
+
 @query("recent_anomalies", sql(f"""
     SELECT project_id, service_id, deduplication_key, "timestamp", rank FROM (
       SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY "timestamp" DESC, id) AS rank

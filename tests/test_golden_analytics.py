@@ -79,6 +79,42 @@ def brute_force(series, last, span, min_points=10, min_drop_mean=5.0):
     return found
 
 
+@pytest.mark.parametrize("slots", [96, 3])
+def test_a_kept_anomaly_silences_its_key_for_a_day(spark, monkeypatch, slots):
+    """Against one pass per key in time order: a hot key, returns at exactly 24 hours, ties, rows without time or key."""
+    monkeypatch.setattr(an, "SLOTS", slots)
+    rng, rows = random.Random(slots), []
+    for key, n, days in (("hot", 900, 40), ("rare", 12, 300), ("burst", 60, 1), (None, 30, 20), ("daily", 0, 0), ("", 5, 9)):
+        rows += [(key, START + dt.timedelta(seconds=rng.randrange(days * 86400))) for _ in range(n)]
+    rows += [("daily", START + dt.timedelta(hours=h)) for h in (0, 0, 23.9999, 24, 47, 48, 71.5, 96, 119, 120.5)]
+    rows += [("hot", None), (None, None)]
+    rows = [(k, at, f"e{i:04d}") for i, (k, at) in enumerate(rows)]
+    want, until = set(), {}
+    for key, at, event in sorted((r for r in rows if r[1]), key=lambda r: (r[1], r[2])):
+        if key not in until or at >= until[key]:
+            until[key] = at + dt.timedelta(hours=24)
+            want.add((key, at, event))
+    table = spark.createDataFrame(rows, "deduplication_key string, timestamp timestamp, event_id string").repartition(5)
+    found = [tuple(r) for r in an.dedup_anomalies(table, "24 hours").collect()]
+    assert len(found) == len(set(found)) and set(found) == want | {r for r in rows if r[1] is None}
+    assert ("daily", START + dt.timedelta(hours=24), next(r[2] for r in rows if r[:2] == ("daily", START + dt.timedelta(hours=24)))) in want
+    assert an.dedup_anomalies(table.limit(0), "24 hours").isEmpty()
+
+
+def test_counters_roll_up(spark, sf):
+    """Both detectors' inputs from one counter table equal those from the logs, with records without a project."""
+    from sparklog.sources import tables as t
+
+    logs = t.logs(spark, sf).withColumn("project_id", F.when(F.col("project_id") > 1, F.col("project_id")))
+    counted = met.counters(logs, "1 hour").persist()
+    for left, right in (
+            (an.windows_of(counted, "1 day"), an.error_rate_windows(logs, "1 day")),
+            (met.counts_of(counted, "6 hours"), met.minute_counts(logs, "6 hours"))):
+        assert left.columns == right.columns
+        assert left.exceptAll(right).isEmpty() and right.exceptAll(left).isEmpty() and left.count() > 0
+    counted.unpersist()
+
+
 @pytest.mark.parametrize("chunks", [1, 2, 7])
 def test_backfill_equals_brute_force_for_every_cut(spark, chunks):
     rng = random.Random(chunks)

@@ -111,6 +111,14 @@ def test_backfill_sorts_bucket_rows_once_per_shuffle(spark, sf):
     assert tree.count("Exchange") == 2 and tree.count("Sort") == 2 and "_chunk" in text
 
 
+def test_detectors_read_the_events_once(spark, sf):
+    """What follows from the counters reads no events, however many detectors and look-ups there are."""
+    from sparklog.plans import queries
+
+    for name in ("all_anomalies", "enqueue_deliveries", "fan_out"):
+        assert not [f for f in queries()[name](spark, sf).inputFiles() if "events" in f], name
+
+
 def test_hot_trace_is_one_row(spark):
     docs = spark.range(5000).select(
         F.col("id").cast("string").alias("id"), F.lit("s").alias("service_id"), F.lit("INFO").alias("level"),
