@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sparklog import schemas
-from sparklog.operators.anomaly import error_rate_anomalies
+from sparklog.operators.alerts import normalize_anomalies
+from sparklog.operators.anomaly import error_rate_anomalies, windows_of
 from sparklog.operators.metrics import validate_metric_defs
 from sparklog.plans.anomaly_queries import HOURLY, SPIKE, VOLUME_SELECT, rate_view, volume_anomalies, volume_view
 from sparklog.plans.alert_queries import _wire
@@ -20,7 +21,7 @@ from sparklog.plans.registry import query
 from sparklog.session import scratch_dir
 from sparklog.sources import tables as t
 from sparklog.sources.readers import stream_anomalies, stream_logs
-from sparklog.sources.sinks import read_documents
+from sparklog.sources.sinks import keyed_logs, read_documents
 from sparklog.streaming import jobs
 
 EVENTS = schemas.table(
@@ -130,6 +131,39 @@ def stream_index(spark, d):
     )
 
 
+def _topic(spark, d):
+    """Published log events with broken lines among them, as four text files and micro-batches."""
+    root, logs = scratch_dir(spark, "topic"), t.logs(spark, d)
+    broken = logs.where("cast(id as bigint) % 97 = 3").select(F.concat(F.lit('{"broken '), "id").alias("value"))
+    keyed_logs(logs).select("value").unionByName(broken).repartition(4, F.hash("value")).write.text(f"{root}/in")
+    finish(jobs.run_topic(
+        stream_anomalies(spark, f"{root}/in", maxFilesPerTrigger=1), f"{root}/out", f"{root}/cp", "1 day", t.AS_OF, spike=SPIKE))
+    return jobs.topic_stores(spark, f"{root}/out")
+
+
+@query("stream_topic_events", sql(
+    'SELECT id, service_id, level, project_id, message, "timestamp", trace_id, span_id FROM logs', "logs"))
+def stream_topic_events(spark, d):
+    return _topic(spark, d)["events"].read().select(
+        "id", "service_id", "level", "project_id", "message", "timestamp", "trace_id", "span_id")
+
+
+@query("stream_topic_bad", sql("""
+    SELECT 'unknown' AS id, 'Failed to parse log message: {"broken ' || id AS message FROM logs WHERE CAST(id AS BIGINT) % 97 = 3""", "logs"))
+def stream_topic_bad(spark, d):
+    return _topic(spark, d)["bad"].read().select("id", "message")
+
+
+@query("stream_topic_anomalies", sql("SELECT service_id AS key, id, severity, total_count, error_count FROM rate_anoms", "rate_anoms"))
+def stream_topic_anomalies(spark, d):
+    """Of all published changes, those that tell the end of a window that is anomalous in the end."""
+    stores = _topic(spark, d)
+    sent = normalize_anomalies(stores["published"].read(), "value", t.AS_OF).select(
+        F.col("service_id").alias("key"), F.col("event_id").alias("id"), "severity", "metrics.total_count", "metrics.error_count").distinct()
+    final = error_rate_anomalies(windows_of(stores["counters"].read(), "1 day"), spike=SPIKE)
+    return sent.join(final.select("id", "severity", "metrics.total_count", "metrics.error_count"), ["id", "severity", "total_count", "error_count"], "left_semi")
+
+
 def _ingested(spark, d):
     root = scratch_dir(spark, "ingest")
     finish(jobs.run_ingest(

@@ -15,16 +15,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from sparklog import schemas
 from sparklog.functions.clock import instant, width_seconds
-from sparklog.operators.alerts import normalize_anomalies, route_alerts
+from sparklog.operators.alerts import event_payload, normalize_anomalies, rate_events, route_alerts
 from sparklog.operators.anomaly import (
-    error_rate_anomalies, error_rate_windows, recent_anomalies, volume_anomalies, volume_anomalies_backfill,
+    error_rate_anomalies, error_rate_windows, recent_anomalies, volume_anomalies, volume_anomalies_backfill, windows_of,
 )
 from sparklog.operators.delivery import enqueue_deliveries
-from sparklog.operators.ingest import When, ingest_outcomes, is_valid, split_outcomes
-from sparklog.operators.metrics import match_metrics, minute_counts
+from sparklog.operators.ingest import When, decode_log_events, ingest_outcomes, is_valid, split_outcomes
+from sparklog.operators.metrics import counters, match_metrics, minute_counts
 from sparklog.operators.search import to_log_documents
 from sparklog.sources.sinks import documents_store, read_versions, write_version
 from sparklog.sources.store import Store
@@ -304,6 +305,54 @@ def run_index(
     return start(logs, batch, checkpoint, every=every)
 
 
+def topic_stores(spark: SparkSession, path: str) -> dict[str, Store]:
+    """The stores of :func:`run_topic`: events, bad rows, counters and published anomalies."""
+    return {
+        "events": Store(spark, f"{path}/events", schemas.LOG_DOCUMENT, "timestamp"),
+        "bad": Store(spark, f"{path}/bad", StructType([*schemas.INGEST_ERROR.fields]).add("arrived_at", "timestamp"), "arrived_at"),
+        "counters": Store(spark, f"{path}/counters", schemas.MINUTE_COUNTS, "bucket", COUNT_KEYS, "sum"),
+        "published": Store(spark, f"{path}/published", schemas.table(key="string", value="string", timestamp="timestamp"), "timestamp"),
+    }
+
+
+def run_topic(
+    texts: DataFrame, path: str, checkpoint: str, width: str = "1 minute", as_of: When | None = None,
+    publish: Callable[[DataFrame], None] | None = None, every: str | None = None, keep: str | None = None, **thresholds,
+) -> StreamingQuery:
+    """A topic of JSON text (``value``) with three outputs: log events, rows that are no JSON, and keyed error-rate anomalies.
+
+    A micro-batch is read once. Its counts are added to the counters, and the windows that it touched are judged anew with
+    all records so far; each change of an anomalous window is published, to the store and to ``publish`` (key and value, at least once).
+    Late records count for their window as long as the counters are kept.
+    """
+    def batch(rows: DataFrame, batch_id: int) -> None:
+        now = F.current_timestamp() if as_of is None else instant(as_of)
+        texts = rows.select("value").persist()
+        stores = topic_stores(rows.sparkSession, path)
+        try:
+            events, bad = decode_log_events(texts, "value", now)
+            stores["events"].commit(events, batch_id, app=checkpoint, order=["project_id", "timestamp"])
+            stores["bad"].commit(bad.withColumn("arrived_at", now), batch_id, app=checkpoint)
+            stores["counters"].commit(counters(events, width), batch_id, app=checkpoint)
+            days = [r[0] for r in events.select(F.to_date("timestamp")).distinct().collect()]
+            touched = events.select(
+                F.col("project_id").alias("_project"), F.col("service_id").alias("_service"),
+                F.window("timestamp", width)["start"].alias("_start")).distinct()
+            windows = windows_of(stores["counters"].read(days=days), width).join(
+                touched, F.col("project_id").eqNullSafe(F.col("_project")) & (F.col("service_id") == F.col("_service"))
+                & (F.col("window_start") == F.col("_start")), "left_semi")
+            changed = event_payload(rate_events(error_rate_anomalies(windows, **thresholds)))
+            keyed = changed.select(F.col("service_id").alias("key"), F.col("payload").alias("value"), "timestamp")
+            if stores["published"].commit(keyed, batch_id, app=checkpoint) and publish is not None:
+                publish(keyed.drop("timestamp"))
+            for store, col in (("events", "timestamp"), ("counters", "bucket"), ("published", "timestamp")):
+                _expire(stores[store], events.select(F.col("timestamp").alias(col)), keep)
+        finally:
+            texts.unpersist()
+
+    return start(texts, batch, checkpoint, every=every)
+
+
 def run_ingest(
     raw: DataFrame, load_projects: Callable[[], DataFrame], path: str, checkpoint: str,
     as_of: When | None = None, every: str | None = None,
