@@ -40,16 +40,23 @@ v AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, ws[i] || ' ' || ws[i + 1]
 r AS (SELECT rid, count(DISTINCT i + k)::BIGINT AS n_repeat_words FROM v, range(3) AS o(k) WHERE n > 1 GROUP BY rid),
 m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
     len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(ls)::BIGINT AS n_lines,
-    (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, length(array_to_string(ls, '')) AS line_chars,
+    length(array_to_string(ls, '')) - length(array_to_string(list_distinct(ls), '')) AS dup_chars, coalesce(n_repeat_words, 0) AS n_repeat_words,
     len(regexp_extract_all(text, '\p{{L}}')) AS letters, len(regexp_extract_all(text, '\p{{Lu}}')) AS capitals
   FROM d LEFT JOIN r USING (rid)),
 x AS (SELECT *, (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT
     + 4 * (word_chars < 2 * n_words OR word_chars > 16 * n_words)::BIGINT + 8 * (10 * n_symbols > n_words)::BIGINT
     + 16 * (100 * n_dup_lines > 30 * n_lines)::BIGINT + 32 * (2 * capitals > letters)::BIGINT
-    + 64 * (2 * letters < word_chars)::BIGINT AS failed FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed
+    + 64 * (2 * letters < word_chars)::BIGINT + 128 * (100 * dup_chars > 30 * line_chars)::BIGINT AS failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed & ~16 = 0 AS kept, failed
 FROM x
 """
+ABLATION = LEDGER[:LEDGER.index("SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines")] + """
+SELECT rule, count(*) FILTER (failed & bit <> 0) AS n_failed, count(*) FILTER (failed & ~16 = bit) AS n_only,
+  count(*) FILTER (failed & ~16 & ~bit = 0) AS n_kept_without
+FROM x, (VALUES ('few_words', 1), ('repeated_words', 2), ('word_length', 4), ('symbols', 8), ('duplicate_text', 128), ('capitals', 32),
+  ('few_letters', 64)) AS r(rule, bit) GROUP BY rule
+"""
 
 AUDIT = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(
@@ -74,4 +81,4 @@ SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC
 QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 50
 """
 
-SQL = {"op2_warc": WARC, "op4_fair_mix": MIX, "op8_quality_ledger": LEDGER, "op13_source_audit": AUDIT}
+SQL = {"op2_warc": WARC, "op4_fair_mix": MIX, "op8_quality_ledger": LEDGER, "quality_ablation": ABLATION, "op13_source_audit": AUDIT}

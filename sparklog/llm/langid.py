@@ -7,23 +7,23 @@ and a temperature calibrates the probabilities on a part of the sample that the
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BINS = 1 << 14
-#: Bound of the training sample, per language.
-DOCS_PER_LANG = 800
+#: Bounds of the training sample: documents per language, and languages (those with the most documents).
+DOCS_PER_LANG, LANGS = 800, 256
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.02, 0.001
 #: Characters that are counted at once; a longer text is counted in such blocks.
 BLOCK = 1 << 20
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def counts(text: str) -> np.ndarray:
@@ -93,7 +93,9 @@ def fit(docs: DataFrame) -> Model:
     """The model of the learnable rows: texts that are not null, with a language.
 
     Document frequencies: each task sends one row per bin at most, so what is shuffled and sent to the driver is bounded
-    by BINS. Sample: the DOCS_PER_LANG smallest hashes of each language, cut in each task before the shuffle.
+    by BINS. Sample: the DOCS_PER_LANG smallest hashes of each of LANGS languages; the number of a language's documents tells which
+    hashes can be among them, so a language's task ranks little more than the sample. Repeated rows count once, and of an id's
+    texts in a language the least is taken.
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & learnable(F.col("doc_id")))
 
@@ -114,8 +116,12 @@ def fit(docs: DataFrame) -> Model:
     idf = np.log((1 + n_docs) / (1 + df)) + 1
 
     order = F.xxhash64("doc_id")
+    sizes = known.groupBy("lang").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "lang").limit(LANGS)
+    share = (DOCS_PER_LANG + 8 * DOCS_PER_LANG ** 0.5) / F.col("size")
+    early = known.select("doc_id", "lang").join(F.broadcast(sizes), "lang").filter(
+        order.cast("double") / 2.0 ** 64 + 0.5 < share).select("doc_id", "lang").distinct()
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))
-    picked = known.select("doc_id", "lang").withColumn("nth", nth).filter(F.col("nth") <= DOCS_PER_LANG).drop("nth")
+    picked = early.withColumn("nth", nth).filter(F.col("nth") <= DOCS_PER_LANG).drop("nth")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,7 +132,8 @@ def fit(docs: DataFrame) -> Model:
                 "n": pa.array([c[b].tolist() for c, b in zip(found, bins)], pa.list_(pa.int64())),
             })
 
-    texts = known.select("doc_id", "text", "lang").join(F.broadcast(picked), ["doc_id", "lang"]).orderBy(order, "text")
+    texts = known.select("doc_id", "text", "lang").join(F.broadcast(picked), ["doc_id", "lang"]).groupBy(
+        "doc_id", "lang").agg(F.min("text").alias("text")).orderBy(order, "lang")
     rows = texts.select("lang", "text").mapInArrow(vectors, "lang string, bins array<int>, n array<long>").collect()
     langs = sorted({r.lang for r in rows})
     return train([(np.array(r.bins), np.array(r.n), langs.index(r.lang)) for r in rows], langs, idf)

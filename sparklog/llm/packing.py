@@ -26,8 +26,8 @@ END_ID = 1
 #: Tokens that a task packs together, and tokens of a step group.
 GROUP_TOKENS = 1 << 20
 STEP_TOKENS = 64 * 2048
-#: Chunks of text whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Bytes of chunks and ids that a worker remembers, and characters of a remembered chunk.
+REMEMBERED, CHUNK = 64 << 20, 40
 #: The split pattern of the tokenizer that the remembered path knows; fixed values.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters that no normaliser composes, expands or takes for a space: Latin letters, digits, signs, ASCII space.
@@ -38,19 +38,21 @@ class Tokenizer:
     """Ids as little-endian unsigned 32-bit bytes, END_ID included.
 
     No token of a lower-casing word tokenizer spans white space, so the ids of each chunk between spaces are remembered.
-    Texts with characters outside PLAIN, and tokenizers of another kind, are encoded whole.
+    Texts with characters outside PLAIN or with a special token, and tokenizers of another kind, are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
         import tokenizers
 
         self.whole = tokenizers.Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         self.ids: dict[str, bytes] = {}
+        self.held = 0
         with open(path) as file:
             spec = json.load(file)
         parts = [p.get("pattern", {}).get("Regex") for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
         kinds = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        added = {t["content"].lower() for t in spec.get("added_tokens", [])}
+        self.special = re.compile("|".join(map(re.escape, sorted(added))), re.IGNORECASE) if added else None
         self.by_chunk = parts[:1] == [WORDS] and kinds == ["NFC", "Replace", "Lowercase"]
         self.end = array("I", [END_ID]).tobytes()
 
@@ -58,10 +60,8 @@ class Tokenizer:
         return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if not self.by_chunk or not PLAIN.fullmatch(text):
+        if not self.by_chunk or not PLAIN.fullmatch(text) or self.special and "<" in text and self.special.search(text):
             return self.encode_whole(text) + self.end
-        if len(self.ids) > REMEMBERED:
-            self.ids.clear()
         known, chunks = self.ids, text.lower().split()
         found = list(map(known.get, chunks))
         if None in found:
@@ -69,7 +69,12 @@ class Tokenizer:
                 if value is None:
                     chunk = chunks[at]
                     found[at] = value = known.get(chunk) or self.encode_whole(chunk)
-                    known[chunk] = value
+                    if len(chunk) <= CHUNK and chunk not in known:
+                        if self.held > REMEMBERED:
+                            known.clear()
+                            self.held = 0
+                        known[chunk] = value
+                        self.held += 200 + len(chunk) + len(value)  # with what a dictionary entry takes
         found.append(self.end)
         return b"".join(found)
 

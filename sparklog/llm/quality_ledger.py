@@ -30,7 +30,7 @@ POLICIES = {
     "v2": (*BASE, "word_length", "symbols", "duplicate_lines", "capitals", "few_letters"),
     "v3": (*BASE, "word_length", "symbols", "duplicate_text", "capitals", "few_letters"),
 }
-LATEST = "v2"
+LATEST = "v3"
 
 
 def mask(policy: str) -> int:

@@ -73,8 +73,12 @@ def op8_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_ledger.ledger(table(spark, sf_dir, "documents"))
     return found.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        (~quality_ledger.passes("base")).alias("base_failed"), quality_ledger.passes("v2").alias("kept"),
-        F.col("failed").bitwiseAND(F.lit(quality_ledger.mask("v2"))).alias("failed"))  # as in the check SQL
+        (~quality_ledger.passes("base")).alias("base_failed"), quality_ledger.passes().alias("kept"), "failed")
+
+
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the current policy rejects, alone and with the others."""
+    return quality_ledger.ablation(quality_ledger.ledger(table(spark, sf_dir, "documents")))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +111,8 @@ def _shipped(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     fns = (op1_simhash, op2_warc, op3_toxicity, op4_fair_mix, op5_langid, op6_packing, op7_jump_shards, op8_quality_ledger,
-           op9_line_dedup, op10_iblt, op11_turn_repair, op12_secret_scan, op13_source_audit)
+           op9_line_dedup, op10_iblt, op11_turn_repair, op12_secret_scan, op13_source_audit,
+           quality_ablation)
     return {fn.__name__: _shipped(fn) for fn in fns}
 
 

@@ -83,22 +83,18 @@ def test_packing(docs, rows, empty):
         assert n <= 2048 and {r.tier for r in own} == {n}
         padding, total = padding + (0 if n & (n - 1) == 0 else 2048 - n), total + n
     assert padding == 0 and total == sum(len(ids) * k for (_, ids), k in want.items())
-    got = Counter()
-    for (doc_id, tokens), own in pieces.items():
-        starts = defaultdict(list)
+    texts = defaultdict(list)
+    for (doc_id, ids), copies in want.items():
+        texts[doc_id, len(ids)].append((ids, copies))
+    assert pieces.keys() == texts.keys()
+    for key, own in pieces.items():
+        assert len(texts[key]) == 1
+        (ids, copies), = texts[key]
+        times = np.zeros(len(ids), int)
         for r in own:
-            starts[r.start].append(r)
-        while starts:
-            at, ids = 0, []
-            while at < tokens:
-                r = starts[at].pop()
-                if not starts[at]:
-                    del starts[at]
-                ids += r.ids
-                at += r.length
-            got[doc_id, tuple(ids)] += 1
-    if got != want:  # repeated rows may be cut at different places
-        assert Counter({k[0]: 0 for k in got}).keys() == Counter({k[0]: 0 for k in want}).keys()
+            assert tuple(r.ids) == ids[r.start: r.start + r.length]
+            times[r.start: r.start + r.length] += 1
+        assert (times == copies).all()
     assert packing.pack(empty, token_file()).count() == 0
 
 
@@ -109,13 +105,20 @@ def test_remembered_ids_equal_the_tokenizer(sf):
     assert tokenizer.by_chunk
     texts = [t for (t,) in duckdb.sql(f"SELECT text FROM '{sf}/documents.parquet'").fetchall()]
     texts += ["", "It's WE'LL don't  x\n\ny\tz", "a b", "İI ŉ ǅ ß ª²½", "…“quoted” — dash", "\x1c\x85x", "naïve é", "<|endoftext|> a",
-              "#$%&&& 12345 a1b2", "日本語 テスト", "ΑΣ ΣΑΣ"]
-    whole.encode_special_tokens = True
+              "#$%&&& 12345 a1b2", "日本語 テスト", "ΑΣ ΣΑΣ", "hello <|endoftext|> there <|startoftext|>", "<|ENDOFTEXT|> x", "a<b <|x|>", "q" * 5000 + " w"]
     for text in texts:
         want = np.array([*whole.encode(text, add_special_tokens=False).ids, 1], "<u4").tobytes()
         assert tokenizer.encode(text) == want, text[:80]
 
 
+def test_remembered_ids_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 20_000)
+    tokenizer = packing.Tokenizer(token_file())
+    for i in range(300):
+        tokenizer.encode(f"word{i} and{i} " + "x" * 50_000)
+        assert tokenizer.held <= 20_400 and sum(len(k) + len(v) for k, v in tokenizer.ids.items()) <= 20_400
+
+
 def test_small_groups_are_carried_over(docs, monkeypatch):
     monkeypatch.setattr(packing, "GROUP_TOKENS", 3000)
     windows, left = packing.fill([(n, n, 0) for n in (2000, 1500, 700, 300, 200, 90, 40, 7)], packing.TIERS)

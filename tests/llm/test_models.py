@@ -36,6 +36,50 @@ def test_languages_of_odd_rows(docs, rows, empty):
     assert langid.predict(empty).count() == 0
 
 
+def test_repeated_rows_and_letters(spark):
+    """2,000 equal rows are one training row, and characters that are no letters make no language."""
+    import duckdb
+
+    some = duckdb.sql(f"SELECT doc_id, text, lang FROM '{SF}/documents.parquet' WHERE lang IN ('en', 'de') LIMIT 120").fetchall()
+    odd = [(9000 + i, t, "en") for i, t in enumerate(["²", "½ 12", "Ⅷ", "_", "\U0001f600"])] + [(9100, "ª", None), (9101, "日", None)]
+    rows = some + [some[0]] * 2000 + [(some[0][0], "another text of the same id", "en")] + odd
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    found = langid.predict(docs)
+    assert found.count() == len(rows)
+    by_id = {r.doc_id: r.lang_pred for r in found.distinct().collect()}
+    assert all((by_id[i] == "und") == (i < 9100) for i in by_id if i >= 9000)
+
+
+def plain_logits(model, text):
+    """Scores of a text from the definition: TF-IDF of its n-grams, each looked at by itself."""
+    from collections import Counter as Bag
+
+    padded, bag = f" {text.lower()} ", Bag()
+    mul = {1: 0x27D4EB2F, 2: 0xC2B2AE3D, 3: 0x165667B1}
+    for n in (1, 2, 3):
+        for i in range(len(padded) - n + 1):
+            h = 0
+            for k, char in enumerate(padded[i: i + n]):
+                h = ord(char) if k == 0 else (h * (0x9E3779B1 if k == 1 else 0x85EBCA77) + ord(char)) & 0xFFFFFFFF
+            h = h * mul[n] & 0xFFFFFFFF
+            bag[((h ^ (h >> 15)) >> 4) & (langid.BINS - 1)] += 1
+    value = {b: __import__("math").log1p(n) * model.idf[b] for b, n in bag.items()}
+    norm = sum(v * v for v in value.values()) ** 0.5 or 1.0
+    return [sum(w[b] * v / norm for b, v in value.items()) / model.temperature for w in model.weights]
+
+
+def test_predictions_equal_the_definition(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    model = langid.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    found = {r.doc_id: r for r in langid.predict(docs, model).collect()}
+    for r in docs.collect():
+        if r.text and len(r.text) < 20_000 and found[r.doc_id].lang_pred != "und":
+            z = plain_logits(model, r.text)
+            e = [2.718281828459045 ** (v - max(z)) for v in z]
+            assert found[r.doc_id].lang_pred == model.langs[z.index(max(z))]
+            assert abs(found[r.doc_id].score - max(e) / sum(e)) < 1e-6
+
+
 def test_blocks_count_alike(monkeypatch):
     text = "Größe und Maß, " * 40
     whole = langid.counts(text)

@@ -44,7 +44,7 @@ def test_policies_and_ablation(docs, empty):
     kept = quality_ledger.apply_policy(docs)
     assert kept.columns == docs.columns and kept.select("n_words").distinct().count() == 1
     assert kept.count() == found.filter(quality_ledger.passes()).count()
-    mask = quality_ledger.mask("v2")
+    mask = quality_ledger.mask(quality_ledger.LATEST)
     failed = [r.failed for r in found.collect()]
     for row in quality_ledger.ablation(found).collect():
         bit = 1 << quality_ledger.RULES[row.rule]
