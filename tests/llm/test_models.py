@@ -98,6 +98,61 @@ def test_toxicity(spark):
     assert sum(s >= 0.7 for s, x in held if not x) < 0.1 * len(held)
 
 
+def test_toxicity_equals_the_definition(spark):
+    """Markers and scores recomputed from the rules, text by text; a long training text counts to its end."""
+    from collections import Counter as Bag
+
+    import numpy as np
+    import zstandard
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    toxic_words = " ".join(f"zorblax{i % 7} gr{i}" for i in range(4000))
+    ends = [i for i in range(50_000, 50_200) if zlib.crc32(str(i).encode()) % 3 != 1][:30]
+    long = spark.createDataFrame([(i, "calm words " * 3000 + toxic_words[: 800 + i % 90]) for i in ends], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").unionByName(long)
+    labels = labels.select("doc_id", "toxic").unionByName(long.selectExpr("doc_id", "1 as toxic"))
+    sampled, share = toxicity.sample(docs, labels)
+    rows = sampled.collect()
+
+    def contexts(mark, halves):
+        seen = set()
+        for r in rows:
+            if r.toxic == mark and r.half in halves:
+                for part in toxicity.windows(r.text):
+                    words = toxicity.WORD.findall(part)
+                    seen |= {(a, w, b) for a, w, b in zip([b"", *words], words, [*words[1:], b""])}
+        return Bag(w for _, w, _ in seen)
+
+    got = toxicity.markers(sampled)
+    for half, halves in ((0, {0}), (1, {1}), (2, {0, 1})):
+        ours, theirs, stems = contexts(1, halves), contexts(0, halves), [Bag(), Bag()]
+        for bag, own in zip(stems, (ours, theirs)):
+            for w, n in own.items():
+                for k in range(4, len(w) + 1):
+                    bag[w[:k]] += n
+        n_toxic, size = sum(r.toxic for r in rows if r.half in halves), max(1, theirs.total()) / max(1, ours.total())
+        marks = {s for s, n in stems[0].items() if n >= max(4, 0.005 * n_toxic) and n * size >= 20 * (stems[1][s] + 0.5)}
+        want = sorted((w for w in ours if any(w[:k] in marks for k in range(4, len(w) + 1))), key=lambda w: (ours[w], w))[-400:]
+        assert got[half] == want
+    assert any(w.startswith(b"zorblax") for w in got[2])
+
+    model = toxicity.fit(docs, labels)
+    found = {r.doc_id: r.score for r in toxicity.score(docs, labels, model).collect()}
+    tools = [zstandard.ZstdCompressor(level=5, write_content_size=False, write_checksum=False, write_dict_id=False, dict_data=zstandard.ZstdCompressionDict(
+        d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for d in (model.dictionaries.ordinary, model.dictionaries.toxic)]
+    for r in docs.limit(150).collect():
+        gains = [len(tools[0].compress(w)) - len(tools[1].compress(w)) for w in toxicity.windows(r.text or "")]
+        x = [0.0] * 12
+        if gains:
+            over = [sum(g >= t for g in gains) for t in (2, 3, 4, 5, 6)]
+            x = [(n / len(gains)) ** 0.5 for n in over] + [np.log(1 + n) for n in over]
+            x += [max(*gains, 0), max(sum(sorted(gains)[-3:]) / len(gains[-3:]), 0)]
+        z = model.bias + sum((v - c) / s * w for v, c, s, w in zip(x, model.centre, model.scale, model.weights))
+        assert abs(found[r.doc_id] - 1 / (1 + np.exp(-z))) < 1e-9
+    assert share == pytest.approx(labels.where("crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1").groupBy("doc_id").agg({"toxic": "max"}).agg(
+        {"max(toxic)": "avg"}).first()[0])
+
+
 def test_toxicity_of_odd_rows(spark, docs, rows, empty):
     labels = spark.createDataFrame([(i, i % 7 == 0) for i in range(100)], "doc_id long, bad boolean").selectExpr(
         "doc_id", "cast(bad as int) as toxic")
