@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from llm.conftest import SCHEMA
 from pyspark.sql import functions as F
 
 from sparklog.llm import line_dedup, simhash
@@ -124,53 +127,101 @@ def test_components_of_long_chains(spark):
     assert roots == {**{i: 0 for i in range(1, n + 1)}, **{1000 + i: 1000 for i in range(1, 50)}}
 
 
+def plain_clauses(text):
+    """Clauses of a text as (start, end, words, whether a sentence ends), word by word."""
+    found, start = [], 0
+    for line in text.split("\n"):
+        own, words, begin = [], [], 0
+        for m in re.finditer(r"\S+", line):
+            if not words:
+                begin = m.start() if own else 0
+            words.append(m.group().lower())
+            if re.search("[.!?,;:][\"')\\]]*$", m.group()) and m.end() < len(line):
+                own.append((begin, m.end(), words))
+                words = []
+        if words:
+            own.append((begin, len(line), words))
+        if own:
+            own[-1] = (own[-1][0], len(line), own[-1][2])
+        found += [(start + x, start + y, w, bool(re.search("[.!?][\"')\\]]*$", w[-1]))) for x, y, w in own]
+        start += len(line) + 1
+    return found
+
+
 def plain_spans(rows, least=50):
     docs = sorted({(r[0] is None, r[0] or 0, r[1] or "") for r in rows})
     seen, spans = {}, []
-    hashes = defaultdict(int)
     for none, doc_id, text in docs:
-        start, unit, run = 0, 0, []
-        for line in [*text.split("\n"), None]:
-            words = (line or "").lower().split()
-            if line is None or words:
-                key = " ".join(words)
-                if line is not None and key in seen and seen[key] != (none, doc_id, text, unit):
-                    run.append((start, start + len(line), len(words)))
-                else:
-                    if sum(x[2] for x in run) >= least:
-                        spans.append((None if none else doc_id, run[0][0], run[-1][1]))
-                    run = []
-                    if line is not None:
-                        seen.setdefault(key, (none, doc_id, text, unit))
-                unit += 1
-            start += len(line or "") + 1
-    del hashes
+        run = []
+        for unit, one in enumerate([*plain_clauses(text), None]):
+            key = one and " ".join(one[2])
+            if key is not None and key in seen and seen[key] != (none, doc_id, text, unit):
+                run.append(one)
+                continue
+            n = sum(len(x[2]) for x in run)
+            if n >= least or 2 * n >= least and sum(x[3] for x in run) >= 2:
+                spans.append((None if none else doc_id, run[0][0], run[-1][1]))
+            run = []
+            if key is not None:
+                seen.setdefault(key, (none, doc_id, text, unit))
     return Counter(spans)
 
 
-def test_spans_equal_brute_force(docs, rows):
-    got = Counter((r.doc_id, r.start, r.end) for r in line_dedup.repeated_spans(docs).collect())
-    assert got == plain_spans(rows)
-    assert got
-
-
-def test_removed_text(docs, rows):
-    out = line_dedup.deduplicate(docs)
-    assert out.columns == docs.columns
-    cuts = defaultdict(list)
-    for doc_id, start, end in plain_spans(rows):
-        cuts[doc_id].append((start, end))
-    want = Counter()
-    for doc_id, text, *_ in rows:
-        rest, at = "", 0
-        for start, end in sorted(cuts[doc_id]) if text else []:
-            rest, at = rest + text[at:start], end + 1
-        rest = None if text is None else rest + text[at:]
-        if not cuts[doc_id] or rest.split():
-            want[doc_id, rest] += 1
-    assert Counter((r.doc_id, r.text) for r in out.collect()) == want
-    changed = [r for r in out.collect() if cuts.get(r.doc_id)]
-    assert changed and all(r.n_chars == len(r.text) for r in changed)
+def plain_cut(text, spans):
+    """A text without its spans; each takes the white space after it, but no line break that parts what is left of two lines."""
+    rest, at = "", 0
+    for start, end in sorted(spans):
+        rest += text[at:start]
+        at = end if text[end: end + 1] == "\n" and start > 0 and text[start - 1] != "\n" else end + 1
+    return rest + text[at:]
+
+
+def punctuated(text):
+    """The text with marks that follow from its words, so that equal passages stay equal."""
+    marks = {"a": ",", "b": ".", "c": "?\"", "d": ";", "e": "...", "f": "!)", "g": ".x"}
+    return text and re.sub(r"[a-p]+", lambda m: m.group() + (marks.get(m.group()[-1], "") if len(m.group()) % 2 else ""), text)
+
+
+@pytest.fixture(scope="module")
+def marked(spark, rows):
+    """The corpus with punctuation, and near copies with a changed word."""
+    own = [(r[0], punctuated(r[1]), *r[2:]) for r in rows]
+    rng = random.Random(9)
+    for i in range(40):
+        words = rng.choice([r[1] for r in own[:120] if r[1] and len(r[1].split(" ")) > 60]).split(" ")
+        words[rng.randrange(len(words))] = "changed"
+        own.append((2000 + i, " ".join(words[rng.randrange(8):]), "en", "a", 0))
+    return own, spark.createDataFrame(own, SCHEMA).repartition(3)
+
+
+def test_spans_equal_brute_force(docs, rows, marked):
+    for frame, own in ((docs, rows), (marked[1], marked[0])):
+        got = Counter((r.doc_id, r.start, r.end) for r in line_dedup.repeated_spans(frame).collect())
+        assert got == plain_spans(own)
+        assert got
+    texts = {r[0]: r[1] for r in marked[0]}
+    assert any(len(texts[i][a:b].split()) < 50 for i, a, b in got), "no run of two sentences"
+    assert any(a > 0 and texts[i][a - 1] != "\n" for i, a, b in got), "no passage inside a line"
+
+
+def test_removed_text(docs, rows, marked):
+    for frame, own in ((docs, rows), (marked[1], marked[0])):
+        out = line_dedup.deduplicate(frame)
+        assert out.columns == frame.columns
+        cuts, want = defaultdict(list), Counter()
+        by_text = defaultdict(set)
+        for doc_id, start, end in plain_spans(own):
+            cuts[doc_id].append((start, end))
+        for doc_id, text, *_ in own:
+            by_text[doc_id].add(text)
+        for doc_id, text, *_ in own:
+            assert len(by_text[doc_id]) == 1 or not cuts[doc_id]
+            rest = None if text is None else plain_cut(text, cuts[doc_id])
+            if not cuts[doc_id] or rest.split():
+                want[doc_id, rest] += 1
+        assert Counter((r.doc_id, r.text) for r in out.collect()) == want
+        changed = [r for r in out.collect() if cuts.get(r.doc_id)]
+        assert changed and all(r.n_chars == len(r.text) for r in changed)
 
 
 def test_short_repeats_stay(spark):

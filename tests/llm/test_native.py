@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
+import zlib
 from collections import Counter, defaultdict
 
 import corpus_pipeline
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from sparklog.llm import fair_mix, iblt, jump_shards, quality_ledger
@@ -131,6 +134,10 @@ def test_shards(spark, docs, rows, empty):
     for r in found:
         slots[r.shard].append(r.slot)
         assert 0 <= r.shard < 40 and r.grown_shard in {r.shard, 40} and r.law == "key"
+        if r.doc_id is not None:
+            key = xxhash.xxh64_intdigest(struct.pack("<q", r.doc_id), 42)
+            assert (r.shard, r.grown_shard) == (plain_jump(key, 40), plain_jump(key, 41))
+    assert Counter((r.doc_id, r.text_crc32) for r in found) == Counter((r[0], zlib.crc32((r[1] or "").encode())) for r in rows)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert jump_shards.place(empty).count() == 0
 

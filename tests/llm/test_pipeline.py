@@ -8,7 +8,7 @@ import re
 from collections import Counter, defaultdict
 
 import corpus_pipeline
-from llm.test_dedup import plain_components, plain_fingerprint, plain_spans
+from llm.test_dedup import plain_components, plain_cut, plain_fingerprint, plain_spans, punctuated
 from llm.test_native import WORD, measured, plain_mix
 from tokenizers import Tokenizer
 
@@ -30,6 +30,10 @@ def texts():
             text = rows[-2][1]
         if i % 6 == 5:
             text = f"{text}\n{passage}\n{sentences(rng, 60)}"
+        text = punctuated(text) if i % 3 else text
+        if i % 12 == 7:
+            long = max(text.split("\n"), key=len)
+            text = f"{long}\n{text}\n{long}" if i % 24 == 7 else f"Short line.\n{text}\nShort line."
         if i % 10 == 1:
             text = " ".join(w + "###" for w in text.split())
         rows.append((i, text, "en", (None, "a", "b", "c")[i % 4 if i > 20 else 1], len(text)))
@@ -38,11 +42,12 @@ def texts():
 
 def plain(rows):
     def good(text):
-        n, chars, symbols, dup, repeated = measured(text)
+        n, chars, symbols, _, repeated = measured(text)
         lines = [line for line in (text or "").split("\n") if WORD.search(line)]
         letters, capitals = len(re.findall(r"[^\W\d_]", text or "")), sum(c.isupper() for c in text or "")
+        whole, own = (len("".join(x)) for x in (lines, set(lines)))
         return not (n < 50 or 2 * repeated > n or not 2 * n <= chars <= 16 * n or 10 * symbols > n
-                    or 100 * dup > 30 * len(lines) or 2 * capitals > letters or 2 * letters < chars)
+                    or 100 * (whole - own) > 30 * whole or 2 * capitals > letters or 2 * letters < chars)
 
     rows = [r for r in rows if good(r[1])]
     roots, first = plain_components([plain_fingerprint(r[1]) for r in rows]), {}
@@ -53,10 +58,7 @@ def plain(rows):
         cuts[doc_id].append((start, end))
     cut = []
     for doc_id, text, lang, source, _ in rows:
-        rest, at = "", 0
-        for start, end in sorted(cuts[doc_id]):
-            rest, at = rest + text[at:start], end + 1
-        rest += text[at:]
+        rest = plain_cut(text, cuts[doc_id])
         if rest.split():
             cut.append((doc_id, rest, lang, source, len(rest)))
     size, target = plain_mix(cut)
