@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,17 +17,42 @@ GAP = r"[\x20\x09-\x0D]+"
 HOT_SHARE = 1 / 1000
 
 
+#: The temporary base of this process where the session has no shared folder, and the run folders that are open.
+_LOCAL: list[str] = []
+_OPEN: list[str] = []
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``; in local mode without that setting, a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder under ``spark.checkpoint.dir``, or inside the open run folder; in local mode without that setting, a
+    temporary one. The setting itself is not changed."""
+    base = _OPEN[-1] if _OPEN else spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.split("[")[0] == "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='llm-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _LOCAL:
+            _LOCAL.append(f"file://{tempfile.mkdtemp(prefix='llm-')}")
+        base = _LOCAL[0]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate tables that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables that are written inside are removed at the end; what is kept is written to a folder chosen before."""
+    folder = shared_folder(spark, "run")
+    _OPEN.append(folder)
+    try:
+        yield folder
+    finally:
+        _OPEN.remove(folder)
+        remove(spark, folder)
+
+
 def stored(frame: DataFrame, name: str) -> DataFrame:
     """``frame`` written to the shared folder and read again: computed once, and no lost executor repeats its lineage."""
     path = shared_folder(frame.sparkSession, name)

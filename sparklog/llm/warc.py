@@ -169,8 +169,21 @@ def _urn(value: str | None) -> str | None:
     return value.strip("<>").removeprefix(URN) or None if value else None
 
 
+def _sha1(value: str | None) -> bytes | None:
+    """The bytes of a digest in the form ``sha1:BASE32``; None for other algorithms and forms."""
+    name, _, text = (value or "").partition(":")
+    try:
+        return base64.b32decode(text.upper()) if name.lower() == "sha1" and len(text) == 32 else None
+    except ValueError:
+        return None
+
+
 def read_stream(stream, with_payload: bool = False) -> Iterator[dict]:
-    """The records of an archive. Blocks pass through the digests in parts; only an asked payload is held whole."""
+    """The records of an archive. Blocks pass through the digests in parts; only an asked payload is held whole.
+
+    The payload of an HTTP record is what follows its header, that of any other (warcinfo, metadata) its block. ``verified`` is null
+    where a record states no SHA-1 digest; its payload_digest is then the one computed.
+    """
     members = Members(stream)
     while members.begin():
         header = members.until(b"\r\n\r\n")
@@ -178,7 +191,7 @@ def read_stream(stream, with_payload: bool = False) -> Iterator[dict]:
             raise ValueError("a member does not begin with a WARC header")
         fields = _fields(header)
         block, payload, http, parts, n = hashlib.sha1(), hashlib.sha1(), b"", [], 0
-        inside = False
+        inside = not fields.get("content-type", "").startswith("application/http")
         for part in members.take(int(fields["content-length"])):
             block.update(part)
             if not inside:
@@ -193,14 +206,17 @@ def read_stream(stream, with_payload: bool = False) -> Iterator[dict]:
                 parts.append(part)
         if b"".join(members.take(4)) != b"\r\n\r\n" or members.ready or members.more():
             raise ValueError("a record does not end where its Content-Length says")
-        named = {k: base64.b32decode(fields[f"warc-{k}-digest"].removeprefix("sha1:")) for k in ("block", "payload")}
-        revisit = fields["warc-type"] == "revisit"
+        named = {k: _sha1(fields.get(f"warc-{k}-digest")) for k in ("block", "payload")}
+        kind = fields.get("warc-type")
+        revisit = kind == "revisit"
+        checks = [named[k] == d.digest() for k, d in (("block", block), ("payload", payload)) if named[k] and not (revisit and k == "payload")]
+        size = _fields(http).get("content-length", "") if revisit else ""
         yield {
-            "record_id": _urn(fields["warc-record-id"]), "record_type": fields["warc-type"],
+            "record_id": _urn(fields.get("warc-record-id")), "record_type": kind,
             "refers_to": _urn(fields.get("warc-refers-to")), "url": fields.get("warc-target-uri"),
-            "payload_bytes": int(_fields(http)["content-length"]) if revisit else n,
-            "payload_digest": named["payload"].hex(),
-            "verified": named["block"] == block.digest() and (revisit or named["payload"] == payload.digest()),
+            "payload_bytes": int(size) if size.isdigit() else n,
+            "payload_digest": (named["payload"] or payload.digest()).hex(),
+            "verified": all(checks) if checks else None,
             "payload": b"".join(parts) if with_payload and not revisit else None,
         }
 

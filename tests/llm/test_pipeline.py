@@ -12,6 +12,7 @@ from llm.test_dedup import plain_components, plain_cut, plain_fingerprint, plain
 from llm.test_native import WORD, measured, plain_mix
 from tokenizers import Tokenizer
 
+from sparklog.llm import common
 from sparklog.llm.queries import token_file
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -77,10 +78,12 @@ def plain(rows):
     return taken
 
 
-def test_pipeline(spark, tmp_path):
+def test_pipeline(spark, tmp_path, monkeypatch):
     rows = texts()
     spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(common, "_OPEN", [f"file://{tmp_path}/shared"])
     found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert [f.name[:10] for f in (tmp_path / "shared").iterdir()] == ["pipeline-4"]  # no other table is left behind
     whole, want = Tokenizer.from_file(token_file()), Counter()
     for (doc_id, text), copies in plain(rows).items():
         want[doc_id, len(whole.encode(text, add_special_tokens=False).ids) + 1] += copies
