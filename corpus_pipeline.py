@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparklog.llm import fair_mix, line_dedup, packing, quality_ledger, queries, simhash
-from sparklog.llm.common import stored
+from sparklog.llm.common import remove, run_folder, shared_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +45,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written to the shared folder and read again by the next."""
+    """The stages over documents, each written to the shared folder and read again by the next. A stage's intermediate tables and
+    the table it read are removed when its result is written; the last result stays."""
     queries.ship(spark)
-    docs = queries.table(spark, sf_dir, "documents")
+    docs, last = queries.table(spark, sf_dir, "documents"), None
     for number, (_, stage) in enumerate(STAGES):
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{number}")
+        path = shared_folder(spark, f"pipeline-{number}")
+        with run_folder(spark):
+            kept = stage(spark, docs, sf_dir)
+            kept.write.parquet(path)
+        docs = spark.read.schema(kept.schema).parquet(path)
+        if last:
+            remove(spark, last)
+        last = path
     return docs
