@@ -10,7 +10,10 @@ from sparklog.operators import search as se
 from sparklog.plans.anomaly_queries import ANOMALY_LOGS, volume_anomalies
 from sparklog.plans.oracle import sql
 from sparklog.plans.registry import query
+from sparklog.session import scratch_dir
 from sparklog.sources import tables as t
+from sparklog.sources.sinks import write_documents
+from sparklog.sources.token_index import search_indexed, update_postings
 
 DOC = 'id, service_id, level, project_id, message, "timestamp", trace_id, span_id'
 COLUMNS = ["id", "service_id", "level", "project_id", "message", "timestamp", "trace_id", "span_id"]
@@ -40,6 +43,19 @@ def search_token(spark, d):
     return se.search_logs(docs(spark, d), 2, "Fire", mode="token").select(*COLUMNS)
 
 
+@query("search_indexed_token", found(
+    r"len(list_filter(regexp_split_to_array(lower(message), '[^\pL\pN_]+'), lambda w: contains(w, 'u12'))) > 0"))
+def search_indexed_token(spark, d):
+    """Through token postings, over a store whose last batch has none yet."""
+    root = scratch_dir(spark, "postings")
+    rows = docs(spark, d)
+    late = F.expr("cast(id as bigint) % 5 = 0")
+    write_documents(rows.where(~late), root, 1)
+    update_postings(spark, root)
+    write_documents(rows.where(late), root, 2)
+    return search_indexed(spark, root, 2, "U12").select(*COLUMNS)
+
+
 @query("search_documents_token", r"""
     SELECT doc_id FROM documents
     WHERE len(list_filter(regexp_split_to_array(lower(text), '[^\pL\pN_]+'), lambda w: contains(w, 'tion'))) > 0""")

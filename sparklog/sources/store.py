@@ -134,7 +134,8 @@ class Store:
     def columns(self) -> StructType:
         return StructType([*self.schema.fields]).add("version", "long").add("batch", "string").add("log_date", "date")
 
-    def _load(self, runs: list[dict]) -> DataFrame:
+    def load(self, runs: list[dict]) -> DataFrame:
+        """The rows of runs, or of files of runs, given by their ``path`` in the store."""
         if not runs:
             return self.spark.createDataFrame([], self.columns())
         paths = [f"{self.path}/{r['path']}" for r in runs]
@@ -147,7 +148,7 @@ class Store:
 
     def versions(self, days: Iterable[dt.date | None] | None = None, since: dt.date | None = None) -> DataFrame:
         """The stored rows with ``version`` (the commit), ``batch`` and ``log_date``; only the chosen days are listed and read."""
-        return self._load(self._chosen(days, since))
+        return self.load(self._chosen(days, since))
 
     def read(self, days: Iterable[dt.date | None] | None = None, since: dt.date | None = None) -> DataFrame:
         """The table: rows merged by key, without the columns of the store."""
@@ -206,7 +207,7 @@ class Store:
         for r in replaced:
             new.runs.remove(r)
         if shared:  # the batch lies in merged runs: the others' rows are written again without it
-            others = self._load(shared).where(F.col("batch") != str(batch))
+            others = self.load(shared).where(F.col("batch") != str(batch))
             kept = {p.split("=")[-1]: p for p in self._write(others, new.number, order or [])}
             new.runs += [{**r, "path": kept[r["day"]], "batches": [b for b in r["batches"] if b != str(batch)]}
                          for r in self._by_day(shared) if r["day"] in kept]
@@ -250,7 +251,7 @@ class Store:
         if not chosen:
             return 0
         new = Manifest(old.number + 1, [r for r in old.runs if r not in chosen], old.done, old.meta, [*old.garbage])
-        merged = MERGES[self.merge](self._load(chosen), self.keys)
+        merged = MERGES[self.merge](self.load(chosen), self.keys)
         paths = {p.split("=")[-1]: p for p in self._write(merged, new.number, order or [])}
         new.runs += [{**r, "path": paths[r["day"]], "level": r["level"] + 1} for r in self._by_day(chosen) if r["day"] in paths]
         new.garbage += [[new.number, r["path"]] for r in chosen]
@@ -264,7 +265,7 @@ class Store:
         if not runs:
             return False
         new = Manifest(old.number + 1, [r for r in old.runs if r not in runs], old.done, old.meta, [*old.garbage])
-        paths = self._write(self._load(runs).where(keep), new.number, order or [])
+        paths = self._write(self.load(runs).where(keep), new.number, order or [])
         new.runs += [{**r, "path": p} for p in paths for r in self._by_day(runs)]
         new.garbage += [[new.number, r["path"]] for r in runs]
         self._publish(new)

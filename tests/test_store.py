@@ -154,3 +154,32 @@ def test_files_carry_bloom_filters(spark, tmp_path, monkeypatch):
     sizes = [sum(f.stat().st_size for f in (tmp_path / name).rglob("*.parquet")) for name in ("with", "without")]
     assert sizes[0] > sizes[1] + 2000  # two filters of a byte or more per value
     assert sinks.read_documents(spark, str(tmp_path / "with")).where("trace_id = 't77'").count() == 1
+
+
+def test_token_search_opens_only_matching_files(spark, tmp_path):
+    """Same rows as a scan; files of other days and words stay closed, new and merged runs are found, expired ones go."""
+    from sparklog.operators.search import search_logs
+    from sparklog.sources import token_index as ti
+
+    path = str(tmp_path / "docs")
+
+    def write(batch, *values):
+        rows = [(i, "s", "INFO", p, m, START + dt.timedelta(days=d), None, None, None) for i, p, m, d in values]
+        sinks.write_documents(spark.createDataFrame(rows, schemas.LOG_DOCUMENT), path, batch)
+
+    write(1, *[(f"a{i}", 1, f"plain words {i}", i) for i in range(6)], ("x", 1, "the Firewall-blocked it", 2), ("y", 2, "firewall", 4))
+    assert ti.update_postings(spark, path) == 6 and ti.update_postings(spark, path) == 0
+    for query, project, days in (("fire", 1, {2}), ("WALL", 2, {4}), ("plain", 1, set(range(6))), ("nothing", 1, set()), ("d_b", 1, set())):
+        found = ti.search_indexed(spark, path, project, query)
+        opened = {f.split("log_date=")[1][:10] for f in found.inputFiles() if "log_date=" in f}
+        assert opened == {(START + dt.timedelta(days=d)).date().isoformat() for d in days}
+        want = search_logs(sinks.read_documents(spark, path), project, query, "token")
+        assert sorted(r.id for r in found.collect()) == sorted(r.id for r in want.collect())
+    write(2, ("z", 1, "wildfire", 5), ("n", 1, None, 5))
+    assert sorted(r.id for r in ti.search_indexed(spark, path, 1, "fire").collect()) == ["x", "z"]
+    assert ti.update_postings(spark, path) > 0
+    sinks.documents_store(spark, path).expire((START + dt.timedelta(days=3)).date())
+    assert [r.id for r in ti.search_indexed(spark, path, 1, "fire").collect()] == ["z"]
+    assert ti.search_indexed(spark, path, 1, "wild-fire").isEmpty()
+    with pytest.raises(ValueError, match="blanks"):
+        ti.search_indexed(spark, path, 1, "two words")
