@@ -13,7 +13,7 @@ import json
 import re
 import zlib
 from array import array
-from bisect import bisect_right, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,7 +27,7 @@ END_ID = 1
 GROUP_TOKENS = 1 << 20
 STEP_TOKENS = 64 * 2048
 #: Bytes of chunks and ids that a worker remembers, and characters of a remembered chunk.
-REMEMBERED, CHUNK = 64 << 20, 40
+REMEMBERED, CHUNK = 128 << 20, 40
 #: The split pattern of the tokenizer that the remembered path knows; fixed values.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters that no normaliser composes, expands or takes for a space: Latin letters, digits, signs, ASCII space.
@@ -59,22 +59,34 @@ class Tokenizer:
     def encode_whole(self, text: str) -> bytes:
         return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each chunk, from one call on all of them: a token belongs to the chunk in which it starts."""
+        encoded = self.whole.encode(" ".join(chunks), add_special_tokens=False)
+        ids, starts = array("I", encoded.ids), [start for start, _ in encoded.offsets]
+        found, at, place = [], 0, 0
+        for chunk in chunks:
+            place += len(chunk) + 1
+            upto = bisect_left(starts, place, at)
+            found.append(ids[at:upto].tobytes())
+            at = upto
+        return found
+
     def encode(self, text: str) -> bytes:
         if not self.by_chunk or not PLAIN.fullmatch(text) or self.special and "<" in text and self.special.search(text):
             return self.encode_whole(text) + self.end
         known, chunks = self.ids, text.lower().split()
         found = list(map(known.get, chunks))
         if None in found:
-            for at, value in enumerate(found):
-                if value is None:
-                    chunk = chunks[at]
-                    found[at] = value = known.get(chunk) or self.encode_whole(chunk)
-                    if len(chunk) <= CHUNK and chunk not in known:
-                        if self.held > REMEMBERED:
-                            known.clear()
-                            self.held = 0
-                        known[chunk] = value
-                        self.held += 200 + len(chunk) + len(value)  # with what a dictionary entry takes
+            fresh = list({chunk for chunk, value in zip(chunks, found) if value is None})
+            new = dict(zip(fresh, self.encode_chunks(fresh)))
+            found = [new[chunk] if value is None else value for chunk, value in zip(chunks, found)]
+            if self.held > REMEMBERED:
+                known.clear()
+                self.held = 0
+            for chunk, value in new.items():
+                if len(chunk) <= CHUNK:
+                    known[chunk] = value
+                    self.held += 200 + len(chunk) + len(value)  # with what a dictionary entry takes
         found.append(self.end)
         return b"".join(found)
 
