@@ -16,7 +16,7 @@ from sparklog.plans.oracle import AS_OF, redacted, sql
 from sparklog.plans.registry import query
 from sparklog.session import scratch_dir
 from sparklog.sources import tables as t
-from sparklog.sources.readers import read_raw_logs
+from sparklog.sources.readers import read_dim, read_raw_logs
 from sparklog.sources.sinks import documents_store, keyed_logs, read_documents, write_outcomes
 from sparklog.streaming.jobs import unstored
 
@@ -282,6 +282,20 @@ def outcome_status(spark, d):
     return answers.groupBy("status", "message").agg(F.count(F.lit(1)).alias("records"), F.count("one").alias("stored"))
 
 
+@query("dimension_scans", sql("""
+    SELECT 'projects' AS name, count(*) AS records, CAST(sum(id) AS BIGINT) AS ids FROM projects
+    UNION ALL SELECT 'users', count(*), CAST(sum(id) AS BIGINT) FROM users
+    UNION ALL SELECT 'custom_metrics', count(*), CAST(sum(id) AS BIGINT) FROM metric_defs""", "projects", "users", "metric_defs"))
+def dimension_scans(spark, d):
+    """Dimension tables through their reader, with the reader's schema."""
+    root, found = scratch_dir(spark, "dims"), []
+    for name, table in (("projects", t.projects), ("users", t.users), ("custom_metrics", t.custom_metrics)):
+        table(spark, d).write.parquet(f"{root}/{name}")
+        rows = read_dim(spark, name, f"{root}/{name}")
+        found.append(rows.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("records"), F.sum("id").alias("ids")))
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @query("restrict_to_user", sql("""
     SELECT id, project_id FROM logs WHERE project_id IN (
       SELECT p.id FROM projects p JOIN users u ON u.id = p.owner_id WHERE u.email = 'user20@example.com')""",
