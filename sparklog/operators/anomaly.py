@@ -155,6 +155,13 @@ def _volume_events(scored: DataFrame) -> DataFrame:
     )
 
 
+def volume_events(stats: DataFrame, min_points: int = 10, min_drop_mean: float = 5.0) -> DataFrame:
+    """The anomalies among rows that hold a bucket's ``current_volume`` and ``points``, ``total`` and ``squares`` of its look-back."""
+    named = stats.withColumn("_sum", F.col("total"))
+    moments = _moments(F.col("points"), F.col("_sum"), F.col("squares").cast(WIDE))
+    return _volume_events(_score(named.withColumns(moments), min_points, min_drop_mean))
+
+
 def volume_anomalies(
     counts: DataFrame,
     as_of: When,

@@ -77,6 +77,16 @@ def stream_volume_detector(spark, d):
     return volume_view(jobs.read_volume_anomalies(spark, f"{root}/out"))
 
 
+@query("stream_volume_ticks", sql(
+    f"SELECT {VOLUME_SELECT} FROM vol_anoms WHERE \"timestamp\" < (SELECT max(bucket) FROM hour_counts)",
+    "vol_anoms", "hour_counts"))
+def stream_volume_ticks(spark, d):
+    """The detector as keyed state with timers, moved by the watermark."""
+    root = scratch_dir(spark, "ticks")
+    finish(jobs.run_volume_ticks(t.logs_of(event_stream(spark, d)), f"{root}/out", f"{root}/cp", clock="event", every=None, **HOURLY))
+    return volume_view(jobs.read_volume_anomalies(spark, f"{root}/out"))
+
+
 @query("stream_dedup", sql("""
     SELECT min("timestamp") AS first_seen, deduplication_key FROM (
       SELECT "timestamp", project_id || ':' || service_id || ':' || strftime("timestamp", '%Y-%m-%d') AS deduplication_key FROM logs)
@@ -105,6 +115,21 @@ def stream_recent_anomalies(spark, d):
     return jobs.read_recent_anomalies(spark, f"{root}/out").select("event_id", "project_id", "service_id", "timestamp")
 
 
+@query("stream_recent_list", sql("""
+    SELECT event_id, project_id, service_id, "timestamp", round(z_score, 6) AS z_score FROM (
+      SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY "timestamp" DESC, event_id) AS rank FROM vol_anoms
+      WHERE "timestamp" >= (SELECT max("timestamp") FROM vol_anoms) - INTERVAL 21 DAY) WHERE rank <= 20""", "vol_anoms"))
+def stream_recent_list(spark, d):
+    """The lists as keyed state; what is older than 21 days leaves by its timer."""
+    root = scratch_dir(spark, "recent-list")
+    found = volume_anomalies(spark, d)
+    found.write.parquet(f"{root}/in")
+    rows = spark.readStream.schema(found.schema).parquet(f"{root}/in")
+    finish(jobs.run_recent_list(rows, f"{root}/out", f"{root}/cp", n=20, days=21, clock="event"))
+    return jobs.read_recent_list(spark, f"{root}/out").select(
+        "event_id", "project_id", "service_id", "timestamp", F.round("z_score", 6).alias("z_score"))
+
+
 @query("stream_alerts", sql(f"""
     SELECT sha256(CAST(to_json([CAST(subscription_id AS VARCHAR), event_id]) AS VARCHAR)) AS id, subscription_id, event_id,
       'PENDING' AS status, {AS_OF} AS next_attempt_at FROM fanned""", "fanned"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -41,6 +44,16 @@ def build_session(app: str = "sparklog", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers once, unless they find it where the driver does (PYTHONPATH or working folder)."""
+    root = Path(__file__).resolve().parents[1]
+    known = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
+    sent = any("sparklog-" in str(f) for f in spark.sparkContext._python_includes)
+    if not sent and not any(p and Path(p).resolve() == root for p in known):
+        name = Path(tempfile.mkdtemp()) / f"sparklog-{os.getpid()}"
+        spark.sparkContext.addPyFile(shutil.make_archive(str(name), "zip", root, "sparklog"))
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder name for one run, under the shared folder of ``spark.checkpoint.dir``.
 

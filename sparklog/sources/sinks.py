@@ -64,31 +64,3 @@ def write_outcomes(outcomes: DataFrame, path: str, mode: str = "overwrite") -> N
 
 def write_errors(errors: DataFrame, path: str, mode: str = "append") -> None:
     errors.write.mode(mode).parquet(path)
-
-
-# --- tables kept as one folder per micro-batch ----------------------------------------------------------
-
-def write_version(df: DataFrame, path: str, version: int, *partitions: str) -> None:
-    """Write the rows of one micro-batch to its own folder; a replayed batch replaces itself."""
-    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
-    writer.partitionBy(*partitions).parquet(f"{path}/version={version}")
-
-
-def has_files(spark: SparkSession, path: str, pattern: str) -> bool:
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found = root.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(
-        spark._jvm.org.apache.hadoop.fs.Path(root, pattern)
-    )
-    return found is not None and len(found) > 0
-
-
-def read_versions(
-    spark: SparkSession, path: str, schema: StructType, before: int | None = None
-) -> DataFrame:
-    """All rows with their ``version``, optionally only those of earlier batches."""
-    full = StructType([*schema.fields]).add("version", "long")
-    if not has_files(spark, path, "version=*"):
-        return spark.createDataFrame([], full)
-    rows = spark.read.schema(full).parquet(path)
-    return rows if before is None else rows.where(F.col("version") < before)
-

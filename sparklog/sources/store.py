@@ -168,10 +168,12 @@ class Store:
 
     # --- writing ------------------------------------------------------------------------------------------
 
-    def _write(self, rows: DataFrame, number: int, order: list[str]) -> list[str]:
-        """A new run of ``rows``, which carry the store's columns; its days' paths."""
+    def _write(self, rows: DataFrame, number: int, order: list[str], gather: bool = True) -> list[str]:
+        """A new run of ``rows``, which carry the store's columns; its days' paths. Without ``gather`` every task writes its own files."""
         name = f"run={number:012d}-{uuid.uuid4().hex[:8]}"
-        rows = rows.select(*self.columns().fieldNames()).hint("rebalance", "log_date", *order[:1])
+        rows = rows.select(*self.columns().fieldNames())
+        if gather:
+            rows = rows.hint("rebalance", "log_date", *order[:1])
         writer = rows.sortWithinPartitions("log_date", *order).write
         for column in BLOOM:
             if column in self.schema.fieldNames():
@@ -184,13 +186,14 @@ class Store:
 
     def commit(
         self, rows: DataFrame, batch: int | str, app: str | None = None, meta: dict | None = None, snapshot: bool = False,
-        order: list[str] | None = None,
+        order: list[str] | None = None, gather: bool = True,
     ) -> bool:
         """Adds the rows of a batch; returns whether they were new.
 
         With ``app``, batches are numbered: one that is not after the last committed batch of this application is already
         in the table and is passed over, so a micro-batch that is run again counts once. Without, ``batch`` is a name, and a batch
-        written again replaces the rows that it had, on whatever days. ``snapshot`` replaces the whole table.
+        written again replaces the rows that it had, on whatever days. ``snapshot`` replaces the whole table. Rows of one day need no
+        shuffle before they are written (``gather=False``); a merge gathers their files later.
         """
         if app is None and not snapshot and self.merge != "append":
             raise ValueError("a named batch can only be replaced in a table that appends")
@@ -201,7 +204,7 @@ class Store:
                        {"schema": self.schema.jsonValue(), **old.meta, **(meta or {})}, [*old.garbage])
         dated = rows.select(*self.schema.fieldNames(), F.lit(new.number).cast("long").alias("version"), F.lit(str(batch)).alias("batch"),
                             F.to_date(self.ts_col).alias("log_date"))
-        fresh = self._write(dated, new.number, order or [])
+        fresh = self._write(dated, new.number, order or [], gather)
         replaced = old.runs if snapshot else [r for r in old.runs if app is None and str(batch) in r["batches"]]
         shared = [r for r in replaced if not snapshot and r["batches"] != [str(batch)]]
         for r in replaced:

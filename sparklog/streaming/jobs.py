@@ -27,8 +27,9 @@ from sparklog.operators.delivery import enqueue_deliveries
 from sparklog.operators.ingest import When, decode_log_events, ingest_outcomes, is_valid, split_outcomes
 from sparklog.operators.metrics import counters, match_metrics, minute_counts
 from sparklog.operators.search import to_log_documents
-from sparklog.sources.sinks import documents_store, read_versions, write_version
+from sparklog.sources.sinks import documents_store
 from sparklog.sources.store import Store
+from sparklog.streaming.state import judged_volumes, recent_changes, volume_alarms
 
 COUNT_KEYS = ["project_id", "service_id", "bucket"]
 METRIC_KEYS = ["project_id", "metric_id", "bucket"]
@@ -216,6 +217,28 @@ def read_volume_anomalies(spark: SparkSession, path: str) -> DataFrame:
     return anomalies_store(spark, path).read()
 
 
+def run_volume_ticks(
+    logs: DataFrame, path: str, checkpoint: str, width: str = "1 minute", lookback: str = "24 hours", delay: str = "0 seconds",
+    clock: str = "processing", every: str | None = "1 minute", keep: str | None = None, **rules,
+) -> StreamingQuery:
+    """The volume detector as one state operator with a timer per key: no stored counters are read.
+
+    With the processing clock a bucket is judged when its time is over, so a service that falls silent is reported even if no
+    record of any service comes. See ``state.judged_volumes``.
+    """
+    def batch(rows: DataFrame, batch_id: int) -> None:
+        found = volume_alarms(rows, **rules).persist()
+        try:
+            if not found.isEmpty():
+                store = anomalies_store(rows.sparkSession, path)
+                store.commit(found, batch_id, app=checkpoint)
+                _expire(store, found, keep)
+        finally:
+            found.unpersist()
+
+    return start(judged_volumes(logs, width, lookback, delay, clock), batch, checkpoint, every=every)
+
+
 # --- the anomaly stream ---------------------------------------------------------------------------------
 
 def stream_dedup(anomalies: DataFrame, ttl: str = "24 hours") -> DataFrame:
@@ -248,6 +271,35 @@ def read_recent_anomalies(spark: SparkSession, path: str) -> DataFrame:
     return anomalies_store(spark, path).read()
 
 
+def recent_store(spark: SparkSession, path: str) -> Store:
+    """Changes of the lists of :func:`run_recent_list`; the newest change of an anomaly tells whether it is listed."""
+    schema = StructType([*schemas.VOLUME_ANOMALY.fields]).add("listed", "boolean")
+    return Store(spark, path, schema, "timestamp", ["project_id", "event_id"], "latest")
+
+
+def run_recent_list(
+    anomalies: DataFrame, path: str, checkpoint: str, n: int = 50, days: int = 7, delay: str = "0 seconds", clock: str = "processing",
+    every: str | None = None,
+) -> StreamingQuery:
+    """:func:`run_recent_anomalies` with the lists as keyed state: a micro-batch touches the projects that it names or whose oldest
+    anomaly expires, and writes what enters and leaves. The store lets go of days that no list can hold."""
+    def batch(rows: DataFrame, batch_id: int) -> None:
+        rows.persist()
+        try:
+            if not rows.isEmpty():
+                store = recent_store(rows.sparkSession, path)
+                store.commit(rows, batch_id, app=checkpoint)
+                _expire(store, rows.where("listed"), f"{days + 1} days")
+        finally:
+            rows.unpersist()
+
+    return start(recent_changes(anomalies, n, days, delay, clock), batch, checkpoint, every=every)
+
+
+def read_recent_list(spark: SparkSession, path: str) -> DataFrame:
+    return recent_store(spark, path).read().where("listed").drop("listed")
+
+
 def run_alerts(
     anomalies: DataFrame, load_subscriptions: Callable[[], DataFrame], path: str, checkpoint: str, as_of: When | None = None,
     every: str | None = None, remember: str = "30 days",
@@ -353,21 +405,29 @@ def run_topic(
     return start(texts, batch, checkpoint, every=every)
 
 
+def ingested_store(spark: SparkSession, path: str) -> Store:
+    """Logs and errors of :func:`run_ingest` by the day of their arrival."""
+    return Store(spark, path, StructType([*schemas.INGEST_OUTCOME.fields]).add("arrived_at", "timestamp"), "arrived_at")
+
+
 def run_ingest(
     raw: DataFrame, load_projects: Callable[[], DataFrame], path: str, checkpoint: str,
-    as_of: When | None = None, every: str | None = None,
+    as_of: When | None = None, every: str | None = None, keep: str | None = None,
 ) -> StreamingQuery:
-    """Raw records to logs and errors: one pass per micro-batch writes both, in its own folder.
+    """Raw records to logs and errors: one pass and one commit per micro-batch fill both, without a shuffle.
 
-    Records without a ``record_id`` get one from their place in the micro-batch.
-    The progress of the query reports ``ingest``: the records read and those that are valid.
+    Records without a ``record_id`` get one from their place in the micro-batch. The progress of the query reports ``ingest``: the
+    records read and those that are valid. ``keep`` counts from the arrival.
     """
     def batch(rows: DataFrame, batch_id: int) -> None:
-        now = F.current_timestamp() if as_of is None else as_of
+        now = F.current_timestamp() if as_of is None else instant(as_of)
         if "record_id" not in rows.columns:
             place = F.concat_ws(":", F.lit(path), F.lit(batch_id), F.monotonically_increasing_id())
             rows = rows.withColumn("record_id", place)
-        write_version(ingest_outcomes(rows, load_projects(), now), path, batch_id, "outcome")
+        store = ingested_store(rows.sparkSession, path)
+        outcomes = ingest_outcomes(rows, load_projects(), now).withColumn("arrived_at", now)
+        store.commit(outcomes, batch_id, app=checkpoint, order=["outcome", "project_id"], gather=False)
+        _expire(store, rows.sparkSession.range(1).select(now.alias("arrived_at")), keep)
 
     counted = raw.observe(
         "ingest", F.count(F.lit(1)).alias("records"), F.count_if(is_valid()).alias("valid")
@@ -377,4 +437,4 @@ def run_ingest(
 
 def read_ingested(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(logs, errors) of :func:`run_ingest`."""
-    return split_outcomes(read_versions(spark, path, schemas.INGEST_OUTCOME).drop("version"))
+    return split_outcomes(ingested_store(spark, path).read().drop("arrived_at"))
