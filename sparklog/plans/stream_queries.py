@@ -1,10 +1,14 @@
 """Streaming queries: each runs the stream over the test table to its end and returns the stored result.
 
-The check SQL is that of the batch operator: on the same rows both must agree.
+Counters, metrics, detectors and ingest get the events in PARTS, in time order; after each part the job is started again from its
+checkpoint. ``stream_error_rate`` (a bench query) and ``stream_dedup`` read them in one go. The check SQL is that of the batch
+operator: on the same rows both must agree.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -29,6 +33,9 @@ EVENTS = schemas.table(
 )
 
 
+PARTS = 3
+
+
 def event_stream(spark: SparkSession, d: str) -> DataFrame:
     return stream_logs(spark, d, EVENTS, pathGlobFilter="events*.parquet")
 
@@ -40,6 +47,16 @@ def finish(stream: StreamingQuery, seconds: int = 3600) -> None:
         raise TimeoutError("the stream did not end")
 
 
+def in_parts(spark: SparkSession, d: str, root: str, run: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Hands the events over in time order, part by part; each time ``run`` goes on with all that has come since its last end."""
+    events, at = t.table(spark, d, "events"), F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = events.agg(F.percentile_approx(at, [i / PARTS for i in range(1, PARTS)])).first()[0] or []
+    part = sum((F.coalesce((at > cut).cast("int"), F.lit(0)) for cut in cuts), F.lit(0))
+    for i in range(PARTS):
+        events.where(part == i).write.mode("append").parquet(f"{root}/in")
+        finish(run(stream_logs(spark, f"{root}/in", EVENTS)))
+
+
 @query("stream_error_rate", sql(
     'SELECT project_id, service_id, severity, deduplication_key, description, "timestamp", id, error_rate, total_count, error_count FROM rate_anoms',
     "rate_anoms"))
@@ -52,17 +69,15 @@ def stream_error_rate(spark, d):
 @query("stream_minute_counts", sql("SELECT * FROM minute_counts", "minute_counts"))
 def stream_minute_counts(spark, d):
     root = scratch_dir(spark, "minute-counts")
-    finish(jobs.run_minute_counts(t.logs_of(event_stream(spark, d)), f"{root}/out", f"{root}/cp"))
+    in_parts(spark, d, root, lambda events: jobs.run_minute_counts(t.logs_of(events), f"{root}/out", f"{root}/cp"))
     return jobs.read_counts(spark, f"{root}/out")
 
 
 @query("stream_metric_counts", sql(f"SELECT * FROM {_METRIC_HOURS}", "logs", "metric_defs"))
 def stream_metric_counts(spark, d):
     root = scratch_dir(spark, "metric-counts")
-    finish(jobs.run_metric_counts(
-        t.logs_of(event_stream(spark, d)), lambda: validate_metric_defs(t.custom_metrics(spark, d))[0],
-        f"{root}/out", f"{root}/cp", "1 hour",
-    ))
+    in_parts(spark, d, root, lambda events: jobs.run_metric_counts(
+        t.logs_of(events), lambda: validate_metric_defs(t.custom_metrics(spark, d))[0], f"{root}/out", f"{root}/cp", "1 hour"))
     return jobs.read_metric_counts(spark, f"{root}/out")
 
 
@@ -71,9 +86,8 @@ def stream_metric_counts(spark, d):
     "vol_anoms", "hour_counts"))
 def stream_volume_detector(spark, d):
     root = scratch_dir(spark, "volume")
-    finish(jobs.run_volume_detector(
-        t.logs_of(event_stream(spark, d)), f"{root}/counts", f"{root}/out", f"{root}/cp", every=None, **HOURLY
-    ))
+    in_parts(spark, d, root, lambda events: jobs.run_volume_detector(
+        t.logs_of(events), f"{root}/counts", f"{root}/out", f"{root}/cp", every=None, **HOURLY))
     return volume_view(jobs.read_volume_anomalies(spark, f"{root}/out"))
 
 
@@ -83,7 +97,8 @@ def stream_volume_detector(spark, d):
 def stream_volume_ticks(spark, d):
     """The detector as keyed state with timers, moved by the watermark."""
     root = scratch_dir(spark, "ticks")
-    finish(jobs.run_volume_ticks(t.logs_of(event_stream(spark, d)), f"{root}/out", f"{root}/cp", clock="event", every=None, **HOURLY))
+    in_parts(spark, d, root, lambda events: jobs.run_volume_ticks(
+        t.logs_of(events), f"{root}/out", f"{root}/cp", clock="event", every=None, **HOURLY))
     return volume_view(jobs.read_volume_anomalies(spark, f"{root}/out"))
 
 
@@ -191,9 +206,8 @@ def stream_topic_anomalies(spark, d):
 
 def _ingested(spark, d):
     root = scratch_dir(spark, "ingest")
-    finish(jobs.run_ingest(
-        t.raw_logs_of(event_stream(spark, d)), lambda: t.projects(spark, d), f"{root}/out", f"{root}/cp", t.AS_OF
-    ))
+    in_parts(spark, d, root, lambda events: jobs.run_ingest(
+        t.raw_logs_of(events), lambda: t.projects(spark, d), f"{root}/out", f"{root}/cp", t.AS_OF))
     return jobs.read_ingested(spark, f"{root}/out")
 
 
