@@ -123,11 +123,12 @@ def _whole(pattern: str) -> str:
     return rf"\A(?:{pattern})\z"
 
 
-def required_literal(pattern: Column) -> Column:
-    """A text that every match of a regular expression contains; empty where none is known.
+def required_texts(pattern: Column) -> Column:
+    """The texts that every match of a regular expression contains; an empty array where none is known.
 
-    Everything that is not plain text, or that a quantifier makes optional, becomes a gap, and the longest piece between gaps counts.
-    Patterns with alternatives, quoting, or groups that set flags have no known text; the one exception is a leading ``(?s)``.
+    Everything that is not plain text, or that a quantifier makes optional, becomes a gap, groups with their alternatives too; the pieces
+    between gaps are left. Patterns with alternatives outside groups, quoting, or groups that set flags have no known text; the one
+    exception is a leading ``(?s)``.
     """
     gap = "\0"
     plain = F.regexp_replace(pattern, r"^\(\?s\)", "")
@@ -139,64 +140,81 @@ def required_literal(pattern: Column) -> Column:
         plain = F.regexp_replace(plain, f"(?s){syntax}", gap)
     for _ in range(GROUP_DEPTH):
         plain = F.regexp_replace(plain, r"\([^()]*\)", gap)
-    unknown = pattern.rlike(r"\|") | pattern.contains("\\Q") | pattern.substr(F.lit(2), F.length(pattern)).contains("(?") | (
-        pattern.startswith("(?") & ~pattern.startswith("(?s)")) | pattern.contains("[[") | pattern.contains("&&") | plain.rlike("[()]")
+    unknown = pattern.contains("\\Q") | pattern.substr(F.lit(2), F.length(pattern)).contains("(?") | (
+        pattern.startswith("(?") & ~pattern.startswith("(?s)")) | pattern.contains("[[") | pattern.contains("&&") | plain.rlike("[()|]")
     plain = F.regexp_replace(plain, r"(?s).(?:[?*]|\{[^}]*\})[?+]?", gap)
     pieces = F.split(F.regexp_replace(plain, r"[+.^$?*{}\]\n]", gap), gap)
-    longest = F.reduce(pieces, F.lit(""), lambda best, one: F.when(F.length(one) > F.length(best), one).otherwise(best))
-    return F.when(unknown, "").otherwise(longest)
+    return F.when(unknown, F.array().cast("array<string>")).otherwise(F.filter(pieces, lambda p: p != ""))
 
 
-def _grams(text: Column) -> Column:
-    """The distinct runs of GRAM characters of a text."""
-    def run(characters: Column) -> Column:
-        grams = F.transform(characters, lambda c, i: F.concat(c, *[F.get(characters, i + k) for k in range(1, GRAM)]))
-        return F.array_distinct(F.filter(grams, lambda g: g.isNotNull()))
+def required_literal(texts: Column) -> Column:
+    """The longest of :func:`required_texts`; empty where none is known."""
+    return F.reduce(texts, F.lit(""), lambda best, one: F.when(F.length(one) > F.length(best), one).otherwise(best))
 
-    return F.get(F.transform(F.array(F.split(text, "")), run), F.lit(0))
+
+def _grams(text: Column, sizes: list[int]) -> Column:
+    """The distinct runs of so many characters of a text."""
+    # A look-ahead takes no character, so the runs overlap.
+    return F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes]))
+
+
+def _keys(texts: Column) -> Column:
+    """The runs by which a rule may be looked up: GRAM characters of its texts, shorter texts whole, single characters never."""
+    def of(text: Column) -> Column:
+        return F.when(F.length(text) >= GRAM, _grams(text, [GRAM])).when(F.length(text) > 1, F.array(text)).otherwise(
+            F.array().cast("array<string>"))
+
+    return F.array_distinct(F.flatten(F.transform(texts, of)))
 
 
 def _with_gram(rules: DataFrame) -> DataFrame:
-    """Rules with ``_gram``, the run of their literal that the fewest rules of the project have; null without one."""
-    every = rules.select("project_id", "metric_id", F.explode(_grams(F.col("_literal"))).alias("_gram"))
+    """Rules with ``_gram``, the run of their texts that the fewest rules of the project have; null without one."""
+    every = rules.select("project_id", "regex_pattern", F.explode(_keys(F.col("_texts"))).alias("_gram"))
     uses = every.groupBy("project_id", "_gram").agg(F.count(F.lit(1)).alias("_uses"))
-    rarest = every.join(uses, ["project_id", "_gram"]).groupBy("project_id", "metric_id").agg(
-        F.min_by("_gram", F.struct("_uses", "_gram")).alias("_gram"))
-    return rules.join(rarest, ["project_id", "metric_id"], "left")
+    rarest = every.join(uses, ["project_id", "_gram"]).groupBy("project_id", "regex_pattern").agg(
+        F.min_by("_gram", F.struct("_uses", -F.length("_gram"), "_gram")).alias("_gram"))
+    return rules.join(rarest, ["project_id", "regex_pattern"], "left").drop("_texts")
 
 
 def match_metrics(logs: DataFrame, defs: DataFrame, max_rows: int = MAX_ROWS, index_from: int = INDEX_FROM) -> DataFrame:
     """Log rows with the id of every valid metric of their project whose regex matches the whole message.
 
-    A join on the project whose residual condition looks for the text that a pattern requires before it tries the pattern, so
-    pairs that do not match are never produced and few patterns are compiled. From ``index_from`` definitions a project
-    on, the definitions are looked up by a run of GRAM characters of their required text instead: the work of a message then depends on its
-    length and not on their number; only patterns without such a text are tried on all messages of their project.
+    Definitions of a project with the same pattern are one rule, which is tried once. A join on the project whose residual condition looks
+    for the text that a pattern requires before it tries the pattern, so pairs that do not match are never produced and few patterns are
+    compiled. From ``index_from`` rules a project on, the rules are looked up by a run of up to GRAM characters of their required texts
+    instead: the work of a message then depends on its length and not on their number; only patterns without such a text are tried on
+    all messages of their project, each compiled anew for each message.
     Definitions and rows without a project match nothing. Up to ``max_rows`` definitions of a measured size are broadcast.
     """
     ok, _ = validate_metric_defs(defs.where(F.col("project_id").isNotNull()))
-    rules = ok.select(
-        F.col("id").alias("metric_id"), "project_id", "regex_pattern", required_literal(F.col("regex_pattern")).alias("_literal"),
+    # In structs, so that a definition without an id counts too.
+    same = ok.groupBy("project_id", "regex_pattern").agg(F.collect_list(F.struct(F.col("id").alias("metric_id"))).alias("_metrics"))
+    rules = same.withColumn("_texts", required_texts(F.col("regex_pattern"))).select(
+        "project_id", "regex_pattern", "_metrics", "_texts", required_literal(F.col("_texts")).alias("_literal"),
         F.format_string(_whole("%s"), "regex_pattern").alias("_whole"),
         # A pattern such as an unclosed quote compiles alone but not inside the anchored form.
         _compiles(F.format_string(_whole("%s"), "regex_pattern")).alias("_anchors"),
     )
-    n, size, projects = rules.agg(
-        F.count(F.lit(1)), F.coalesce(F.sum(2 * F.octet_length("_whole") + F.octet_length("_literal") + 64), F.lit(0)),
+    bytes_of = 2 * F.octet_length("_whole") + F.octet_length("_literal") + 64 * F.size("_metrics")
+    n, distinct, size, projects = rules.agg(
+        F.coalesce(F.sum(F.size("_metrics")), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(bytes_of), F.lit(0)),
         F.approx_count_distinct("project_id")).first()
     fits = n <= max_rows and size <= MAX_BYTES
     candidates = logs.where(F.col("project_id").isNotNull() & F.col("message").isNotNull())
     tried = F.expr("contains(message, _literal) and (not _anchors or message rlike _whole)")
-    if n < index_from * max(projects, 1):
-        pairs = join_dim(candidates, rules, ["project_id"], condition=tried, fits=fits)
+    if distinct < index_from * max(projects, 1):
+        pairs = join_dim(candidates, rules.drop("_texts"), ["project_id"], condition=tried, fits=fits)
     else:
         ruled = _with_gram(rules)
-        words = candidates.withColumn("_gram", F.explode(_grams(F.col("message"))))
-        found = join_dim(words, ruled.where(F.col("_gram").isNotNull()), ["project_id", "_gram"], condition=tried, fits=fits)
-        rest = join_dim(candidates, ruled.where(F.col("_gram").isNull()).drop("_gram"), ["project_id"], condition=tried, fits=fits)
-        pairs = found.drop("_gram").unionByName(rest)
+        pairs = join_dim(candidates, ruled.where(F.col("_gram").isNull()).drop("_gram"), ["project_id"], condition=tried, fits=fits)
+        sizes = sorted(ruled.where(F.col("_gram").isNotNull()).agg(F.collect_set(F.length("_gram"))).first()[0])
+        if sizes:
+            words = candidates.withColumn("_gram", F.explode(_grams(F.col("message"), sizes)))
+            found = join_dim(words, ruled.where(F.col("_gram").isNotNull()), ["project_id", "_gram"], condition=tried, fits=fits)
+            pairs = found.drop("_gram").unionByName(pairs)
     whole = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("matches"), F.col("regex_pattern"), F.col("message"))
-    return pairs.where(F.col("_anchors") | (whole == "true")).drop("regex_pattern", "_whole", "_anchors", "_literal")
+    matched = pairs.where(F.col("_anchors") | (whole == "true")).drop("regex_pattern", "_whole", "_anchors", "_literal")
+    return matched.select(*[c for c in matched.columns if c != "_metrics"], F.inline("_metrics"))
 
 
 def metric_counts(logs: DataFrame, defs: DataFrame, width: str = "1 minute") -> DataFrame:

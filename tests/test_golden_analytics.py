@@ -183,6 +183,26 @@ def test_required_texts_lose_no_match(spark):
     assert len(want) > 300
 
 
+def test_rules_are_tried_once_and_found_by_short_texts(spark):
+    """Equal patterns are one rule, repeated and absent ids each count, and a text in reach of alternatives or of few characters is a key."""
+    defs = spark.createDataFrame([
+        (1, 1, "m", ".{1,9}"), (2, 1, "m", ".{1,9}"), (2, 1, "m", ".{1,9}"), (None, 1, "m", ".{1,9}"), (4, 1, "m", "order.*"), (4, 1, "m", ".*paid.*"),
+        (5, 2, "m", ".{1,9}"),
+    ], "id long, project_id long, name string, regex_pattern string")
+    logs = spark.createDataFrame([("a", 1, "orders"), ("b", 1, "it is paid"), ("c", 2, "orders"), ("d", 3, "x")], "log_id string, project_id long, message string")
+    want = sorted([("a", 1), ("a", 2), ("a", 2), ("a", -1), ("a", 4), ("b", 4), ("c", 5)])
+    for cap, index_from in ((0, 100), (64, 100), (0, 0), (64, 0)):
+        found = met.match_metrics(logs, defs, max_rows=cap, index_from=index_from)
+        assert found.columns == ["log_id", "project_id", "message", "metric_id"]
+        assert sorted((r.log_id, -1 if r.metric_id is None else r.metric_id) for r in found.collect()) == want
+
+    patterns = [".*(click|view).* 12.*", "[a-z]+ .*k.*: ?7\\}?", "user[^ ]* 3.*", ".{1,9}", "order|x", "a(b|(c|d))?e"]
+    texts = spark.createDataFrame([(p,) for p in patterns], "p string").select(
+        met.required_texts(F.col("p")).alias("t"), met._keys(met.required_texts(F.col("p"))).alias("k")).collect()
+    assert [r.t for r in texts] == [[" 12"], [" ", "k", ":", "7"], ["user", " 3"], [], [], ["a", "e"]]
+    assert [r.k for r in texts] == [[" 12"], [], ["user", " 3"], [], [], []]
+
+
 def test_metric_series_has_no_gaps(spark):
     defs = spark.createDataFrame([(5, 1)], "id long, project_id long")
     table = spark.createDataFrame([(1, 5, START, 3), (1, 5, START - 90 * MINUTE, 9)], schemas.METRIC_COUNTS)
