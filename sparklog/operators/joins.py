@@ -36,7 +36,8 @@ def join_dim(
     A dimension that is measured as small is broadcast, so the facts are not shuffled. A larger one is
     joined by shuffle with the facts salted: every fact row gets one salt, made of the row and its task
     so that equal rows of different tasks spread too, and every dimension row is repeated once per salt, so one hot key spreads over ``salts`` tasks and the result is the same for
-    inner, left, semi and anti joins. ``fits`` is the result of a measurement that was already made. ``condition`` may use columns of both sides; the names must differ.
+    inner, left, semi and anti joins. That join is hinted as a merge join, since Spark's size estimate leaves out the repeats and would send
+    all of them through the driver. ``fits`` is the result of a measurement that was already made. ``condition`` may use columns of both sides; the names must differ.
     """
     side = dim.select(*[F.col(c).alias(f"_k_{c}") if c in on else F.col(c) for c in dim.columns])
     keys = on
@@ -45,7 +46,7 @@ def join_dim(
     else:
         keys = [*on, "_salt"]
         facts = facts.withColumn("_salt", F.pmod(F.xxhash64(F.spark_partition_id(), *_hashable(facts)), F.lit(salts)))
-        side = side.withColumn("_k__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+        side = side.withColumn("_k__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))).hint("merge")
     matches = [F.col(k) == F.col(f"_k_{k}") for k in keys]
     if condition is not None:
         matches.append(condition)

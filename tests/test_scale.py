@@ -60,6 +60,23 @@ def test_salting_spreads_the_hot_key(spark, skewed):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_a_large_dimension_is_not_broadcast(spark, skewed, tmp_path, how):
+    """Neither by Spark's estimate, which knows the file but not its copies for the salts, nor when stages are planned anew."""
+    path = str(tmp_path / "dim")
+    spark.range(30).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")).write.parquet(path)
+    joined = joins.join_dim(skewed.drop("m"), spark.read.parquet(path), ["k"], how, max_rows=0)
+    assert "SortMergeJoin" in plan(joined) and "Broadcast" not in plan(joined)
+    joined.collect()
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ingest_with_many_projects_broadcasts_none(spark, sf, monkeypatch):
+    monkeypatch.setattr(joins, "fits_broadcast", lambda *_: False)
+    logs, errors = ing.ingest(t.raw_logs(spark, sf), t.projects(spark, sf), t.AS_OF)
+    assert "Broadcast" not in plan(logs) + plan(errors)
+
+
 def test_broadcast_is_measured(spark):
     wide = spark.range(10).select(F.repeat(F.lit("x"), 1000).alias("x"))
     assert joins.fits_broadcast(wide)
